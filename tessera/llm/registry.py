@@ -53,7 +53,7 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(length('<|im_start|>') + length(role) + 1 + length(inside) + length('<|im_end|>') + 1) as bigint) as formatted_chars
 from rendered group by conv_id
-""".replace("\\\\", "\\")
+"""
 
 
 def oracle_sql() -> dict[str, str]:
