@@ -9,10 +9,9 @@ string are encoded whole.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks in each of a worker's two cache generations. The older one goes when the younger is full.
@@ -21,6 +20,9 @@ CACHE_CHUNKS = 500_000
 #: Marks that form a piece of their own after a letter in both vocabularies' splitting rules.
 MARKS = ".,;:!?|$%&*#\"()[]{}"
 
+#: Texts whose unknown chunks are encoded together.
+GROUP = 64
+
 _open: dict[tuple[str, str], ChunkEncoder] = {}
 
 
@@ -30,22 +32,22 @@ class ChunkEncoder:
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        self.tokenizer, self.code = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _many(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     def _know(self, seen: set[str]) -> None:
         """Bring all of ``seen`` into the young generation."""
         young, old = self.young, self.old
-        missing = [c for c in seen if c not in young]
+        missing = seen.difference(young)
         if len(young) + len(missing) > CACHE_CHUNKS:
             self.old, self.young = young, {}
-            old, young, missing = self.old, self.young, list(seen)
+            old, young, missing = self.old, self.young, seen
         new = []
         for c in missing:
             if (ids := old.get(c)) is None:
@@ -70,20 +72,25 @@ class ChunkEncoder:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Each text's ids as bytes."""
         out: list[bytes] = []
+        group: list[list[str] | str] = []
         for text in texts:
-            if "  " in text or any(s in text for s in self.specials):
-                out += self._many([text])
-                continue
-            chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-            if chunks is None:
-                first, *rest = text.split(" ")
-                chunks = [first, *[" " + w for w in rest]]
-            try:
-                out.append(b"".join(map(self.young.__getitem__, chunks)))
-            except KeyError:
-                self._know(set(chunks))
-                out.append(b"".join(map(self.young.__getitem__, chunks)))
-        return out
+            if "  " in text or "\0" in text or any(s in text for s in self.specials):
+                group.append(text)
+            else:
+                group.append(text.replace(" ", "\0 ").split("\0"))
+            if len(group) == GROUP:
+                out += self._group(group)
+                group = []
+        return out + self._group(group)
+
+    def _group(self, group: list[list[str] | str]) -> list[bytes]:
+        seen: set[str] = set()
+        for chunks in group:
+            if type(chunks) is list:
+                seen.update(chunks)
+        self._know(seen)
+        look = self.young.__getitem__
+        return [b"".join(map(look, x)) if type(x) is list else self._many([x])[0] for x in group]
 
 
 def encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
