@@ -20,8 +20,8 @@ CACHE_CHUNKS = 500_000
 #: Marks that form a piece of their own after a letter in both vocabularies' splitting rules.
 MARKS = ".,;:!?|$%&*#\"()[]{}"
 
-#: Texts whose unknown chunks are encoded together.
-GROUP = 64
+#: Texts whose unknown chunks are encoded together; one at a time keeps its strings in the processor's caches.
+GROUP = 1
 
 _open: dict[tuple[str, str], ChunkEncoder] = {}
 
