@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,12 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path := self.path(name))
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of steps whose results are kept: it does so when the
+        driver's garbage collector finds their plans unused, which may be long after."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

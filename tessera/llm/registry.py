@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, idstore, packing
+from tessera.llm import chat, idstore, jaccard, mixing, packing, quality_knn, quality_rules
 from tessera.llm.common import Scratch, read_table
 
 #: The vocabularies name no end id of their own for this use; the contract appends 2.
@@ -22,19 +22,47 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents repeated towards their sources' target weights, in shuffled order."""
+    return mixing.replicate(read_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids."""
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Rows that op6's model is held out from: crc32 of the key as text, modulo 4, is 2.
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents; three quarters of the keys may give labels."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_knn.fit(docs, read_table(spark, sf_dir, "labels"), where=~held_out())
+    return quality_knn.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted, then read back from the format."""
     return chat.read_back(chat.format_conversations(chat.conflicting(read_table(spark, sf_dir, "conversations"))))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by a Jaccard index of 80 % or more."""
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op5_packing, op8_chat_format)}
+    return {f.__name__: f for f in (op2_token_store, op4_poisson_mix, op5_packing, op6_quality_knn, op7_quality_rules, op8_chat_format, op9_jaccard_join)}
 
 
 OP8_SQL = r"""
@@ -57,4 +85,4 @@ from rendered group by conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL}
+    return {"op4_poisson_mix": mixing.SQL, "op8_chat_format": OP8_SQL, "op9_jaccard_join": jaccard.SQL}
