@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import mix64, sliced, texts
+from tessera.llm.common import mix64
 from tessera.llm.tokens import encoder
+from tessera.llm.words import text_batches
 
 #: Slots of a level for each key that reaches it.
 GAMMA = 1.5
@@ -162,12 +163,14 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, width:
             held, payload, size, done = [], [], 0, done + total
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in sliced(batches):
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encode(texts(batch.column("text"))), strict=True):
+        for batch in text_batches(batches):
+            found, bounds = encode(batch.column("text"))
+            raw, at = found.tobytes(), (bounds * (width // 8)).tolist()
+            for key, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):
                 last = (key, last[1] + 1) if last and last[0] == key else (key, 0)
                 held.append(last)
-                payload.append(ids + end)
-                size += len(ids) + len(end)
+                payload.append(raw[a:b] + end)
+                size += b - a + len(end)
                 if size >= shard_bytes:
                     yield close()
         if held:

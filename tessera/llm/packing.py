@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sliced, texts
 from tessera.llm.tokens import encoder
+from tessera.llm.words import text_batches
 
 #: Ids of a block that is packed by itself.
 BLOCK_IDS = 4_000_000
@@ -107,10 +107,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 4096, bloc
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc[s])), pa.array(start[s]), pa.array(length[s]), pa.array(n_ids[doc[s]]), pa.array(sequence[s] + base), pa.array(offset[s]), pa.array(ids, pa.binary())], schema=schema)
             held, size, base = [], 0, base + n
 
-        for batch in sliced(batches):
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encode(texts(batch.column("text"))), strict=True):
-                held.append((key, ids + end))
-                size += len(ids) // 4 + 1
+        for batch in text_batches(batches):
+            ids, bounds = encode(batch.column("text"))
+            raw, at = ids.tobytes(), (4 * bounds).tolist()
+            held += [(key, raw[a:b] + end) for key, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True)]
+            size += len(ids) + batch.num_rows
             if size >= block_ids:
                 yield from close()
         if held:

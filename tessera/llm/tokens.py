@@ -1,96 +1,148 @@
 """Exact, cached tokenization of whole texts.
 
-Both vocabularies split a text before every space that stands between two other characters, so a
-text's ids are those of its space-led chunks one after another. A worker encodes each new chunk once
-and keeps its ids. Texts with runs of spaces, which one token may cover, or with a special token's
-string are encoded whole.
+Both vocabularies cut a text into pieces before they merge, and some cuts depend on nothing around
+them: before a space that follows a visible character, and between a letter and a mark. A text's ids
+are those of the chunks between such cuts, one after another. Chunks are told apart by a 64-bit hash
+and their length; a worker encodes a chunk that it does not know with the tokenizers library and keeps
+its ids in one flat array, from which whole batches are put together. Texts that hold a special
+token's string are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
-from collections.abc import Iterable
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+import numpy as np
+import pyarrow as pa
 
-#: Chunks in each of a worker's two cache generations. The older one goes when the younger is full.
-CACHE_CHUNKS = 500_000
+from tessera.llm.common import mix64
+from tessera.llm.words import BYTE_VALUES, SPACES, base_powers, text_buffer
 
-#: Marks that form a piece of their own after a letter in both vocabularies' splitting rules.
-MARKS = ".,;:!?|$%&*#\"()[]{}"
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Texts whose unknown chunks are encoded together; one at a time keeps its strings in the processor's caches.
-GROUP = 1
+#: A worker forgets its chunks when it holds this many, or this many ids of chunks; results do not change.
+MOST_CHUNKS, MOST_IDS = 3_000_000, 24_000_000
+#: New chunks are sorted in among the known ones when there are this many.
+MERGE_AT = 150_000
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b'.,;:!?|$%&*#"()[]{}')] = True
+_VISIBLE = ~SPACES
+_VISIBLE[128:] = False
+# Bytes that begin a character which is no white space: visible ASCII, and two-byte characters beyond the first 64.
+_BEGINS_VISIBLE = _VISIBLE.copy()
+_BEGINS_VISIBLE[0xC3:0xE0] = True
 
 _open: dict[tuple[str, str], ChunkEncoder] = {}
 
 
+class _Known:
+    """Sorted chunk hashes with byte length, place in the id pool and number of ids."""
+
+    def __init__(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.rows = np.zeros((0, 3), np.int64)
+
+    def add(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.rows = np.insert(self.hash, at, hashes), np.insert(self.rows, at, rows, axis=0)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row number of each hash, -1 if it is unknown."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where(self.hash[at] == hashes, at, -1)
+
+
 class ChunkEncoder:
-    """Encodes texts to little-endian id bytes with a vocabulary file of the tokenizers library."""
+    """Encodes columns of texts to ids with a vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.code = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _many(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.code, e.ids).tobytes() for e in found]
-
-    def _know(self, seen: set[str]) -> None:
-        """Bring all of ``seen`` into the young generation."""
-        young, old = self.young, self.old
-        missing = seen.difference(young)
-        if len(young) + len(missing) > CACHE_CHUNKS:
-            self.old, self.young = young, {}
-            old, young, missing = self.old, self.young, seen
-        new = []
-        for c in missing:
-            if (ids := old.get(c)) is None:
-                new.append(c)
-            else:
-                young[c] = ids
-        plain, tailed = [], []
-        for c in new:
-            stem = c.rstrip(MARKS)
-            if len(stem) < len(c) and stem[-1:].isalpha():
-                tailed.append((c, stem, c[len(stem) :]))
-            else:
-                plain.append(c)
-        if tailed:
-            parts = {p for _, *both in tailed for p in both if p not in young} - set(plain)
-            plain += [p for p in parts if p not in old]
-            young.update((p, old[p]) for p in parts if p in old)
-        for i in range(0, len(plain), 8192):
-            young.update(zip(plain[i : i + 8192], self._many(plain[i : i + 8192]), strict=True))
-        young.update((c, young[stem] + young[tail]) for c, stem, tail in tailed)
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Each text's ids as bytes."""
-        out: list[bytes] = []
-        group: list[list[str] | str] = []
-        for text in texts:
-            if "  " in text or "\0" in text or any(s in text for s in self.specials):
-                group.append(text)
-            else:
-                group.append(text.replace(" ", "\0 ").split("\0"))
-            if len(group) == GROUP:
-                out += self._group(group)
-                group = []
-        return out + self._group(group)
-
-    def _group(self, group: list[list[str] | str]) -> list[bytes]:
-        seen: set[str] = set()
-        for chunks in group:
-            if type(chunks) is list:
-                seen.update(chunks)
-        self._know(seen)
-        look = self.young.__getitem__
-        return [b"".join(map(look, x)) if type(x) is list else self._many([x])[0] for x in group]
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.recent, self.pool, self.used = _Known(), _Known(), np.zeros(1 << 16, self.dtype), 0
+
+    def _starts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where chunks start: at documents, and at the cuts that depend on nothing around them."""
+        n = len(data)
+        cut = np.zeros(n + 1, bool)
+        if n > 1:
+            space, before, after = data[1:] == 0x20, data[:-1], np.append(data[2:], np.uint8(ord("x")))
+            cut[1:n] = space & (_VISIBLE[before] | ((before != 0x20) & _BEGINS_VISIBLE[after]))
+            cut[1:n] |= _MARK[data[1:]] & _LETTER[before]
+        raw = data.tobytes() if self.specials else b""
+        for special in self.specials:
+            at = raw.find(special)
+            while at >= 0:
+                doc = int(np.searchsorted(begins, at, side="right")) - 1
+                cut[begins[doc] : begins[doc + 1]] = False
+                at = raw.find(special, int(begins[doc + 1]))
+        cut[begins] = True
+        return np.flatnonzero(cut[:n])
+
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        if len(self.known.hash) + len(self.recent.hash) + len(chunks) > MOST_CHUNKS or self.used > MOST_IDS:
+            self._forget()
+        rows = np.zeros((len(chunks), 3), np.int64)
+        for i in range(0, len(chunks), 4096):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks[i : i + 4096]], add_special_tokens=False)]
+            sizes = np.array([len(x) for x in found], np.int64)
+            total = int(sizes.sum())
+            while self.used + total > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used : self.used + total] = np.fromiter((t for x in found for t in x), self.dtype, total)
+            rows[i : i + len(found), 1], rows[i : i + len(found), 2] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.used += total
+        rows[:, 0] = [len(c) for c in chunks]
+        self.recent.add(hashes, rows)
+        if len(self.recent.hash) > MERGE_AT:
+            self.known.add(self.recent.hash, self.recent.rows)
+            self.recent = _Known()
+
+    def _rows(self, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, place, ids) of each chunk, and which ones are known."""
+        out, has = np.zeros((len(hashes), 3), np.int64), np.zeros(len(hashes), bool)
+        for part in (self.known, self.recent):
+            at = part.find(hashes)
+            hit = at >= 0
+            out[hit] = part.rows[at[hit]]
+            has |= hit
+        return out, has & (out[:, 0] == lengths)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, bounds of the documents in them); null is the empty text."""
+        data, begins = text_buffer(column)
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(len(begins), np.int64)
+        starts = self._starts(data, begins)
+        ends = np.append(starts[1:], len(data))
+        powers, inverse = base_powers(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[data] * powers, out=sums[1:])
+        hashes, first, chunk = np.unique(mix64((sums[ends] - sums[starts]) * inverse[starts]), return_index=True, return_inverse=True)
+        lengths = (ends - starts)[first]
+        rows, has = self._rows(hashes, lengths)
+        if not has.all():
+            new, raw = np.flatnonzero(~has), data.tobytes()
+            if len(self.known.hash) + len(self.recent.hash) + len(new) > MOST_CHUNKS or self.used > MOST_IDS:
+                self._forget()
+                new = np.arange(len(hashes))
+            self._learn(hashes[new], [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            rows, has = self._rows(hashes, lengths)
+            if not has.all():
+                raise ValueError("two chunks have one 64-bit hash")
+        sizes = rows[chunk, 2]
+        stop = np.cumsum(sizes)
+        ids = self.pool[np.repeat(rows[chunk, 1] - (stop - sizes), sizes) + np.arange(stop[-1])]
+        return ids, np.append(0, stop)[np.searchsorted(starts, begins)]
 
 
 def encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:

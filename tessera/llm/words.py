@@ -30,7 +30,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 SLICE_BYTES = 1_500_000
 
 
-def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``n`` of each."""
     if len(_powers[0]) < n:
         size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2)) + 1
@@ -41,6 +41,19 @@ def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1]
 
 
+def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column (null is empty) and the bounds of its texts in them."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 class Texts:
     """A batch of texts as bytes, with the words of all of them.
 
@@ -49,13 +62,7 @@ class Texts:
     """
 
     def __init__(self, column: pa.Array, lower: bool = False):
-        column = pc.fill_null(column, "").cast(pa.large_string())
-        if isinstance(column, pa.ChunkedArray):
-            column = column.combine_chunks()
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        raw = column.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(column) else np.zeros(0, np.uint8)
-        self.begins = offsets - offsets[0] if len(column) else np.zeros(1, np.int64)
+        data, self.begins = text_buffer(column)
         self.data = LOWER[data] if lower else data
         n = len(self.data)
         inside = ~SPACES[self.data]
@@ -68,7 +75,7 @@ class Texts:
         after[:-1] = inside[1:]
         self.ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
         self.first = np.searchsorted(self.starts, self.begins)
-        powers, inverse = _base_powers(n)
+        powers, inverse = base_powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE_VALUES[self.data] * powers, out=sums[1:])
         self.hashes = mix64((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
