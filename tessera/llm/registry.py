@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, idstore, jaccard, mixing, packing, quality_knn, quality_rules
+from tessera.llm import chat, idstore, jaccard, mixing, packing, quality_knn, quality_rules, vectors
 from tessera.llm.common import Scratch, read_table
 
 #: The vocabularies name no end id of their own for this use; the contract appends 2.
@@ -22,6 +22,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every 100th vector."""
+    return vectors.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents repeated towards their sources' target weights, in shuffled order."""
     return mixing.replicate(read_table(spark, sf_dir, "documents"))
@@ -62,7 +67,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op4_poisson_mix, op5_packing, op6_quality_knn, op7_quality_rules, op8_chat_format, op9_jaccard_join)}
+    return {f.__name__: f for f in (op2_token_store, op3_one_bit_neighbours, op4_poisson_mix, op5_packing, op6_quality_knn, op7_quality_rules, op8_chat_format, op9_jaccard_join)}
 
 
 OP8_SQL = r"""
@@ -85,4 +90,4 @@ from rendered group by conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mix": mixing.SQL, "op8_chat_format": OP8_SQL, "op9_jaccard_join": jaccard.SQL}
+    return {"op3_one_bit_neighbours": vectors.SQL, "op4_poisson_mix": mixing.SQL, "op8_chat_format": OP8_SQL, "op9_jaccard_join": jaccard.SQL}
