@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, idstore, jaccard, mixing, packing, quality_knn, quality_rules, vectors
+from tessera.llm import chat, idstore, jaccard, mixing, packing, pii, quality_knn, quality_rules, vectors
 from tessera.llm.common import Scratch, read_table
 
 #: The vocabularies name no end id of their own for this use; the contract appends 2.
@@ -66,8 +66,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op3_one_bit_neighbours, op4_poisson_mix, op5_packing, op6_quality_knn, op7_quality_rules, op8_chat_format, op9_jaccard_join)}
+    return {f.__name__: f for f in (op2_token_store, op3_one_bit_neighbours, op4_poisson_mix, op5_packing, op6_quality_knn, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_pii)}
 
 
 OP8_SQL = r"""
