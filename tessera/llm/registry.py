@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, idstore, jaccard, mixing, packing, pii, quality_knn, quality_rules, vectors
+from tessera.llm import chat, idstore, jaccard, mixing, packing, passages, pii, quality_knn, quality_rules, vectors
 from tessera.llm.common import Scratch, read_table
 
 #: The vocabularies name no end id of their own for this use; the contract appends 2.
 END_ID = 2
 
 
+def op1_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that repeat across documents."""
+    return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to shards and read back through the perfect hash index."""
     path = Scratch(spark, "idstore").path("shards")
@@ -73,7 +78,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op3_one_bit_neighbours, op4_poisson_mix, op5_packing, op6_quality_knn, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_pii)}
+    return {f.__name__: f for f in (op1_passage_chains, op2_token_store, op3_one_bit_neighbours, op4_poisson_mix, op5_packing, op6_quality_knn, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_pii)}
 
 
 OP8_SQL = r"""
