@@ -1,0 +1 @@
+"""Column expressions: key bits, row addresses, grouping keys."""

@@ -1,0 +1 @@
+"""Joins with their stages, grouped aggregation with its keys, views, and versioned tables."""

@@ -1,28 +1,255 @@
-"""Named queries of the core engine."""
+"""Named queries of the core engine, each with the SQL that it must agree with."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.parquet import read_table
+from tessera.functions.keys import chunk_id, chunk_offset
+from tessera.operators import aggregate, join, views
+from tessera.operators.table import Table, commit_max, lock_state
+from tessera.sources import csv, generate
+from tessera.sources.parquet import read_table, read_with_row_ids
+
+#: Rows of a chunk in these queries: small, so that the fixtures have several.
+CHUNK = 8192
+QUANTITY = "cast(l_quantity as int)"
+
+
+def _lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return read_with_row_ids(spark, sf_dir, "lineitem").select("row_index", *columns)
+
+
+def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_with_row_ids(spark, sf_dir, "part").where("p_size <= 40")
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_with_row_ids(spark, sf_dir, "lineitem").selectExpr("row_index", "l_partkey", "l_suppkey", f"{QUANTITY} as quantity")
+
+
+def _version_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of the DML queries: (l_partkey, quantity) of lineitem."""
+    return _grouped(spark, sf_dir).select("row_index", "l_partkey", "quantity")
+
+
+def _new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_with_row_ids(spark, sf_dir, "part").selectExpr("row_index", "p_partkey as l_partkey", "p_size as quantity")
+
+
+def _low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _version_source(spark, sf_dir).where("quantity < 10").select("row_index")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Join part (p_size <= 40) with lineitem on the part key and sum quantities per key."""
     part = read_table(spark, sf_dir, "part").where("p_size <= 40").select("p_partkey")
-    lines = read_table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("int").alias("quantity"))
-    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_partkey").agg(F.sum("quantity").alias("sum_quantity"))
+    lines = read_table(spark, sf_dir, "lineitem").selectExpr("l_partkey", f"{QUANTITY} as quantity")
+    return aggregate.aggregate(join.join_inner(part, lines, "p_partkey", "l_partkey"), ["l_partkey"], [("sum", "quantity", "sum_quantity")])
+
+
+def scan_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.col("row_index")
+    return _lines(spark, sf_dir, "l_partkey").select(chunk_id(row, CHUNK).alias("chunk_id"), chunk_offset(row, CHUNK).alias("chunk_offset"), "l_partkey")
+
+
+def row_and_chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("row_count"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunk_count"))
+
+
+def table_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = read_table(spark, sf_dir, "part").schema
+    return spark.createDataFrame([(i, f.name) for i, f in enumerate(fields)], "position int, name string")
+
+
+def project_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read_table(spark, sf_dir, "lineitem")
+    return csv.project(lines, [lines.columns.index("l_quantity"), lines.columns.index("l_partkey")])
+
+
+def view_one_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.one_chunk(_lines(spark, sf_dir, "l_partkey"), 1, CHUNK).read()
+
+
+def view_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.whole_table(_lines(spark, sf_dir, "l_partkey")).read("l_partkey")
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    build = join.materialize(_build(spark, sf_dir), "p_partkey")
+    probe = join.materialize(_lines(spark, sf_dir, "l_partkey"), "l_partkey")
+    return join.materialize_sides(build, probe, build.count(), probe.count())
+
+
+def materialize_smaller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sides(spark, sf_dir)[0]
+
+
+def materialize_larger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sides(spark, sf_dir)[1]
+
+
+def filter_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join.filter_slots(join.materialize(_build(spark, sf_dir), "p_partkey"))
+
+
+def radix_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join.radix_histogram(join.materialize(_lines(spark, sf_dir, "l_partkey"), "l_partkey"), 1, CHUNK)
+
+
+def radix_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join.radix_partition(join.materialize(_lines(spark, sf_dir, "l_partkey"), "l_partkey"), 1)
+
+
+def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir, "l_partkey")
+    return join.join_inner(_build(spark, sf_dir).select("p_partkey", "p_size"), lines, "p_partkey", "l_partkey")
+
+
+def join_inner_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir, "l_partkey")
+    return join.join_inner(_build(spark, sf_dir).select("p_partkey", "p_size"), lines, "p_partkey", "l_partkey", "shuffle_hash")
+
+
+def group_keys_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.sparse_keys(_lines(spark, sf_dir, "l_partkey"), ["l_partkey"])
+
+
+def group_keys_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.dense_keys(_lines(spark, sf_dir, "l_partkey"), "l_partkey")
+
+
+def group_keys_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.sparse_keys(_lines(spark, sf_dir, "l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"])
+
+
+def _aggregated(group_by: list[str], *aggregates: tuple[str, str, str], first_row: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: aggregate.aggregate(_grouped(spark, sf_dir), group_by, list(aggregates), first_row)
+
+
+def insert_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = Table(_version_source(spark, sf_dir), chunk_rows=CHUNK)
+    table.insert(_new_rows(spark, sf_dir))
+    return table.snapshot()
+
+
+def insert_chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = Table(_version_source(spark, sf_dir), chunk_rows=512)
+    return table.chunk_ranges(table.insert(_new_rows(spark, sf_dir)))
+
+
+def delete_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = Table(_version_source(spark, sf_dir), chunk_rows=CHUNK)
+    table.delete(_low(spark, sf_dir))
+    return table.snapshot()
+
+
+def delete_lock_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _version_source(spark, sf_dir).select("row_index").where("row_index < 10")
+    return lock_state(rows.union(rows.where("row_index < 5")))
+
+
+def update_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = Table(_version_source(spark, sf_dir), chunk_rows=CHUNK)
+    table.update(_new_rows(spark, sf_dir), _low(spark, sf_dir))
+    return table.snapshot()
+
+
+def row_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = Table(_version_source(spark, sf_dir), chunk_rows=CHUNK)
+    table.update(_new_rows(spark, sf_dir), _low(spark, sf_dir))
+    return table.versions().groupBy("_begin_cid", "_end_cid").agg(F.count(F.lit(1)).alias("n"))
+
+
+def snapshot_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = Table(_version_source(spark, sf_dir), chunk_rows=CHUNK)
+    first = table.insert(_new_rows(spark, sf_dir))
+    table.delete(_low(spark, sf_dir))
+    return table.snapshot(first)
+
+
+def newest_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = Table(_version_source(spark, sf_dir), chunk_rows=CHUNK)
+    table.delete(_low(spark, sf_dir))
+    return commit_max(table.versions(), "_end_cid")
+
+
+def all_in_one_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update every row by itself, then insert all once more: 3n physical, 2n visible rows."""
+    rows = _version_source(spark, sf_dir)
+    table = Table(rows, chunk_rows=CHUNK)
+    table.update(rows, rows.select("row_index"))
+    table.insert(rows)
+    return table.snapshot().agg(F.lit(table.physical_rows()).cast("long").alias("physical_rows"), F.count(F.lit(1)).alias("visible_rows"))
+
+
+def generate_r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.workload(spark, 0.01)[0]
+
+
+def generate_s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.workload(spark, 0.01, 1)[1]
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}").rstrip("/")
+    lines = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity")
+    csv.write_csv(lines, path := f"{folder}/csv-{uuid.uuid4().hex}", [0, 1])
+    return csv.read_csv(lines, path)
+
+
+_L = "(select *, row_number() over () - 1 as row_index from lineitem) l"
+_P = "(select *, row_number() over () - 1 as row_index from part) p"
+_Q = "cast(l_quantity as int)"
+_BASE = f"select l_partkey, {_Q} as quantity, row_index from {_L}"
+_NEW = f"select p_partkey, p_size, row_index + (select count(*) from lineitem) from {_P}"
+
+_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "join_then_sum": (flagship, f"select l_partkey, cast(sum({_Q}) as bigint) as sum_quantity from lineitem join part on l_partkey = p_partkey where p_size <= 40 group by l_partkey"),
+    "scan_row_ids": (scan_row_ids, f"select row_index // {CHUNK} as chunk_id, row_index % {CHUNK} as chunk_offset, l_partkey from {_L}"),
+    "row_and_chunk_count": (row_and_chunk_count, f"select count(*) as row_count, cast(ceil(count(*) / {CHUNK}.0) as bigint) as chunk_count from lineitem"),
+    "table_schema": (table_schema, "select cast(row_number() over () - 1 as int) as position, column_name as name from (describe part)"),
+    "project_columns": (project_columns, "select l_quantity, l_partkey from lineitem"),
+    "view_one_chunk": (view_one_chunk, f"select row_index, l_partkey from {_L} where row_index // {CHUNK} = 1"),
+    "view_whole_table": (view_whole_table, f"select row_index, l_partkey from {_L}"),
+    "materialize_smaller": (materialize_smaller, f"select row_index, p_partkey as key from {_P} where p_size <= 40"),
+    "materialize_larger": (materialize_larger, f"select row_index, l_partkey as key from {_L} where (l_partkey & 1048575) in (select p_partkey & 1048575 from part where p_size <= 40)"),
+    "filter_slots": (filter_slots, "select distinct p_partkey & 1048575 as slot from part where p_size <= 40"),
+    "radix_histogram": (radix_histogram, f"select row_index // {CHUNK} as chunk_id, l_partkey & 1 as radix, count(*) as n from {_L} group by all"),
+    "radix_partition": (radix_partition, f"select row_index, l_partkey as key, l_partkey & 1 as radix from {_L}"),
+    "join_inner": (join_inner, f"select row_index, l_partkey, p_partkey, p_size from {_L} join part on l_partkey = p_partkey where p_size <= 40"),
+    "join_inner_shuffled": (join_inner_shuffled, f"select row_index, l_partkey, p_partkey, p_size from {_L} join part on l_partkey = p_partkey where p_size <= 40"),
+    "group_keys_sparse": (group_keys_sparse, f"select row_index, l_partkey, coalesce(l_partkey + 2147483649, 0) as key_l_partkey from {_L}"),
+    "group_keys_dense": (group_keys_dense, f"select row_index, l_partkey, l_partkey - min(l_partkey) over () + 1 as group_key, max(l_partkey) over () - min(l_partkey) over () < 1.2 * count(*) over () as is_dense from {_L}"),
+    "group_keys_multi": (group_keys_multi, f"select row_index, l_partkey, l_suppkey, l_partkey + 2147483649 as key_l_partkey, l_suppkey + 2147483649 as key_l_suppkey from {_L}"),
+    "agg_sum": (_aggregated(["l_partkey"], ("sum", "quantity", "sum_quantity")), f"select l_partkey, cast(sum({_Q}) as bigint) as sum_quantity from lineitem group by l_partkey"),
+    "agg_count": (_aggregated(["l_partkey"], ("count", "quantity", "n")), f"select l_partkey, count({_Q}) as n from lineitem group by l_partkey"),
+    "agg_count_distinct": (_aggregated(["l_partkey"], ("count_distinct", "quantity", "n")), f"select l_partkey, count(distinct {_Q}) as n from lineitem group by l_partkey"),
+    "agg_first_rowid": (_aggregated(["l_partkey"], ("count", "quantity", "n"), first_row="row_index"), f"select l_partkey, count({_Q}) as n, min(row_index) as first_row_index from {_L} group by l_partkey"),
+    "agg_global": (_aggregated([], ("sum", "quantity", "sum_quantity"), ("count", "quantity", "n")), f"select cast(sum({_Q}) as bigint) as sum_quantity, count({_Q}) as n from lineitem"),
+    "agg_multi_key": (_aggregated(["l_partkey", "l_suppkey"], ("sum", "quantity", "sum_quantity")), f"select l_partkey, l_suppkey, cast(sum({_Q}) as bigint) as sum_quantity from lineitem group by all"),
+    "insert_append": (insert_append, f"{_BASE} union all {_NEW}"),
+    "insert_chunk_ranges": (insert_chunk_ranges, f"select ri // 512 as chunk_id, min(ri % 512) as begin_offset, max(ri % 512) + 1 as end_offset from (select row_index + (select count(*) from lineitem) as ri from {_P}) group by 1"),
+    "delete_visible": (delete_visible, f"{_BASE} where not ({_Q} < 10)"),
+    "delete_lock_state": (delete_lock_state, "select cast(r as bigint) as row_index, count(*) % 2 = 1 as locked from (select unnest(range(0, 10)) as r union all select unnest(range(0, 5))) group by r"),
+    "update_replace": (update_replace, f"{_BASE} where not ({_Q} < 10) union all {_NEW}"),
+    "row_versions": (row_versions, f"select cast(0 as bigint) as _begin_cid, case when {_Q} < 10 then 1 else 4294967294 end as _end_cid, count(*) as n from lineitem group by all union all select 1, 4294967294, count(*) from part"),
+    "snapshot_before": (snapshot_before, f"{_BASE} union all {_NEW}"),
+    "newest_commit": (newest_commit, "select cast(1 as bigint) as max_cid"),
+    "all_in_one_state": (all_in_one_state, "select 3 * count(*) as physical_rows, 2 * count(*) as visible_rows from lineitem"),
+    "generate_r": (generate_r, "select cast(r + 1 as int) as c0 from range(0, 1595) t(r)"),
+    "generate_s": (generate_s, None),
+    "csv_roundtrip": (csv_roundtrip, "select l_partkey, l_quantity from lineitem"),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"join_then_sum": flagship}
+    return {name: query for name, (query, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "join_then_sum": "select l_partkey, cast(sum(cast(l_quantity as int)) as bigint) as sum_quantity "
-        "from lineitem join part on l_partkey = p_partkey where p_size <= 40 group by l_partkey",
-    }
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}

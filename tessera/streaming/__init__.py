@@ -1,0 +1 @@
+"""Feeding versioned tables from streams."""
