@@ -179,8 +179,11 @@ def word_table(docs: DataFrame) -> DataFrame:
 
 
 def token_table(chosen: DataFrame) -> DataFrame:
-    """(node, tokens) from ``chosen(node, text)``; texts whose set is not the node's are passed over."""
-    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    """(node, leader, is_leader, tokens) from ``chosen(node, leader, is_leader, text)``.
+
+    Texts whose set is not the node's (another row of its document's key) are passed over.
+    """
+    schema = pa.schema([("node", pa.int64()), ("leader", pa.int64()), ("is_leader", pa.bool_()), ("tokens", pa.list_(pa.int64()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -188,9 +191,9 @@ def token_table(chosen: DataFrame) -> DataFrame:
             tokens, doc, first = shingle_sets(texts)
             own = fingerprints(tokens, doc, len(texts)).view(np.int64) == np.asarray(batch.column("node"))
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), _signed(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], schema=schema).filter(pa.array(own))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("leader"), batch.column("is_leader"), lists], schema=schema).filter(pa.array(own))
 
-    return chosen.select("node", "text").mapInArrow(rows, "node long, tokens array<long>")
+    return chosen.select("node", "leader", "is_leader", "text").mapInArrow(rows, "node long, leader long, is_leader boolean, tokens array<long>")
 
 
 def _near(a: str, b: str) -> Column:
@@ -200,6 +203,12 @@ def _near(a: str, b: str) -> Column:
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * apart <= na + nb)
 
 
+def _alike(sides: DataFrame) -> DataFrame:
+    """The pairs of ``sides(a, b, ta, tb)`` whose sets have a Jaccard index of 80 % or more."""
+    common = F.size(F.array_intersect("ta", "tb"))
+    return sides.where(100 * common >= 80 * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+
+
 class Join:
     """The join's steps over one table of documents."""
 
@@ -230,19 +239,12 @@ class Join:
         side = self.nodes.select("node", F.struct("n", *SKETCH).alias(f"{column}_")).withColumnRenamed("node", column)
         return df.join(side, column)
 
-    def _tokens(self, wanted: DataFrame) -> DataFrame:
-        """The token sets of the wanted nodes, made again from one text of each."""
-        reps = self.nodes.join(wanted, "node").select("node", F.col("rep").alias("doc_id"))
-        return self.scratch.keep(token_table(self.docs.join(reps, "doc_id")).dropDuplicates(["node"]), "tokens")
-
-    @staticmethod
-    def _linked(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets have a Jaccard index of 80 % or more."""
-        sides = pairs
-        for c in "ba":
-            sides = sides.join(tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")), c)
-        common = F.size(F.array_intersect("ta", "tb"))
-        return sides.where(100 * common >= 80 * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    def _tokens(self, wanted: DataFrame, first: DataFrame) -> DataFrame:
+        """The token sets of the wanted nodes, made again from one text of each, with their leaders."""
+        marked = wanted.join(first.select(F.col("b").alias("node"), F.col("a").alias("leader")), "node", "left")
+        leads = first.select(F.col("a").alias("node"), F.lit(True).alias("is_leader")).distinct()
+        reps = self.nodes.join(marked.join(leads, "node", "left"), "node").select("node", "leader", "is_leader", F.col("rep").alias("doc_id"))
+        return self.scratch.keep(token_table(self.docs.join(reps, "doc_id")), "tokens")
 
     def node_components(self) -> DataFrame:
         """(node, component) of the nodes that have a link."""
@@ -255,17 +257,26 @@ class Join:
         # All that may have to be compared: the pairs above, and members of groups of three or more.
         more = groups.join(leaders.where("size > 2").select("key"), "key", "left_semi").select("node")
         wanted = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(more).distinct()
-        tokens = self._tokens(wanted)
+        tokens = self._tokens(wanted, first)
+        scratch.release()
+        # A follower's set travels once, to its leader's.
+        leading = tokens.where("is_leader").select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
+        following = tokens.where("leader is not null").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("tokens").alias("tb"))
+        links = scratch.keep(_alike(following.join(leading, "a")), "links")
         scratch.release()
-        links = scratch.keep(self._linked(first, tokens), "links")
         found = components(links, scratch)
         member = groups.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         apart = scratch.keep(self._with_nodes(member.join(mixed, "key").select("key", F.col("node").alias("m"), "component"), "m"), "apart")
         x, y = apart.select("key", F.col("m").alias("a"), F.col("component").alias("ca"), F.col("m_").alias("a_")), apart.select("key", F.col("m").alias("b"), F.col("component").alias("cb"), F.col("m_").alias("b_"))
         untested = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("a_", "b_")).select("a", "b").distinct()
-        rest = self._linked(untested.join(first, ["a", "b"], "left_anti"), tokens)
-        return components(links.union(rest), scratch)
+        rest = scratch.keep(untested.join(first, ["a", "b"], "left_anti"), "rest")
+        if rest.first() is None:
+            return found
+        sides = rest
+        for c in "ba":
+            sides = sides.join(tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")), c)
+        return components(links.union(_alike(sides)), scratch)
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
