@@ -4,7 +4,7 @@ A turn is rendered as ``<|im_start|>role\ntext<|im_end|>\n`` and read back by a
 Where the recovered turn differs from the source (a control string or an escape sequence in its role
 or text), its fields are escaped and the turn is rendered again, until both are identical. An escape
 adds one backslash inside ``<|`` and ``<\|``, ``<\\|`` and so on; the parser takes one away. In roles
-a line break is ``<\n`` and ``<\n``, ``<\\n`` get one backslash more.
+a line break becomes ``<\n``, and a literal ``<\n``, ``<\\n`` and so on gets one backslash more.
 
 A conversation's formatted text is its turns' segments one after another, kept as one row per turn:
 no row or task holds a whole conversation, however long.
@@ -29,7 +29,7 @@ from tessera.llm.common import sliced, texts
 START, END, TRAINED = "<|im_start|>", "<|im_end|>", "assistant"
 
 _escape_text, _plain_text = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-_escape_role, _plain_role = re.compile(r"<(\\*)([|n])"), re.compile(r"<\\(\\*)([|n])")
+_escape_role, _plain_role = re.compile(r"<(\\*\||\\+n)"), re.compile(r"<\\(\\*[|n])")
 
 
 def escape_text(text: str) -> str:
@@ -41,11 +41,11 @@ def unescape_text(text: str) -> str:
 
 
 def escape_role(role: str) -> str:
-    return _escape_role.sub(r"<\\\1\2", role).replace("\n", "<\\n")
+    return _escape_role.sub(r"<\\\1", role).replace("\n", "<\\n")
 
 
 def unescape_role(role: str) -> str:
-    return _plain_role.sub(lambda m: "\n" if not m[1] and m[2] == "n" else f"<{m[1]}{m[2]}", role)
+    return _plain_role.sub(lambda m: "\n" if m[1] == "n" else f"<{m[1]}", role)
 
 
 class Grammar(ValueError):

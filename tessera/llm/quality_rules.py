@@ -154,16 +154,24 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     scale = max(1e-6, float(z.std()))
-    u, a, b = (z - z.mean()) / scale, 1.0, 0.0
-    for _ in range(50):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(a * u + b, -30, 30)))
+    u, ab = (z - z.mean()) / scale, np.array([1.0, 0.0])
+
+    def loss(ab: np.ndarray) -> float:
+        v = ab[0] * u + ab[1]
+        return float((np.logaddexp(0, v) - target * v).sum() + 0.005 * (ab**2).sum())
+
+    for _ in range(100):  # Newton steps, halved until the loss falls
+        p = 1 / (1 + np.exp(-np.clip(ab[0] * u + ab[1], -30, 30)))
         r, d = p - target, np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(d * u * u).sum() + 1.0, (d * u).sum()], [(d * u).sum(), d.sum() + 1e-6]])
-        da, db = np.linalg.solve(h, [(r * u).sum() + 1.0 * a, r.sum()])
-        a, b = a - da, b - db
-        if abs(da) + abs(db) < 1e-9:
+        slope = np.array([(r * u).sum(), r.sum()]) + 0.01 * ab
+        step = np.linalg.solve(np.array([[(d * u * u).sum(), (d * u).sum()], [(d * u).sum(), d.sum()]]) + 0.01 * np.eye(2), slope)
+        now, size = loss(ab), 1.0
+        while size > 1e-6 and loss(ab - size * step) > now:
+            size /= 2
+        if size <= 1e-6 or np.abs(step).sum() < 1e-9:
             break
-    return a / scale, b - a * z.mean() / scale
+        ab = ab - size * step
+    return float(ab[0] / scale), float(ab[1] - ab[0] * z.mean() / scale)
 
 
 def apply_rules(docs: DataFrame, model: Model, min_probability: float = MIN_PROBABILITY) -> DataFrame:

@@ -1,0 +1,29 @@
+"""Queries with an SQL form against it, on the smallest fixtures."""
+
+import duckdb
+import pytest
+
+from tessera.llm import registry
+from tests.conftest import SF
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "labels", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(spark, duck, name):
+    got = registry.queries()[name](spark, SF).toPandas()
+    expected = duck.execute(registry.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(expected.columns)
+    rows = lambda f: sorted(map(repr, f[columns].astype(object).itertuples(index=False, name=None)))
+    assert rows(got) == rows(expected)
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
