@@ -3,15 +3,18 @@
 A document's set are its distinct shingles of five words (A-Z lower-cased). Equal sets are one node.
 In a size band, sets are dealt into p buckets by hash and the tokens of a bucket are XORed into one
 word. A token that only one of two sets has changes one word at most, so sets that differ in d tokens
-agree in p - d words; sets with a Jaccard index of 80 % or more differ in at most a quarter of the
-smaller set, and p exceeds that bound by a reserve. Words that few sets can need, the empty ones and
-those of very large groups, are left out for every set that has no more of them than the reserve: one
-of the agreeing words always remains. A second sketch of 512 bits, one flipped by each token, gives a
-lower bound of the difference as its Hamming distance and drops pairs before their sets are compared.
-
-Groups are not expanded into pairs. First each node meets one leader that shares a word with it; then
-further leaders where both are still apart; what remains apart in a group is paired under the size and
-Hamming filters. Every link that joins two components is compared exactly.
+agree in all but d words; sets with a Jaccard index of 80 % or more differ in at most d = a quarter of
+the smaller set, and p exceeds that bound by reserves. A node that enters e words must therefore share
+e - d of them with any true partner. Nodes that share fewer leave, and of its shared words each node
+keeps only the rarest, as many as it must to keep one in common with every partner: the words of the
+largest groups fall away first. A second sketch of 512 bits, one flipped by each token, gives a lower
+bound of the difference as its Hamming distance and drops pairs before their sets are compared.
+
+Groups are not expanded into pairs. Every word draws a leader from its group, other ones for other
+words; each node is compared with the nearest of its leaders by Hamming distance. Only members that
+are still apart after that are paired, under the size and Hamming filters, and of those pairs each
+node tests its nearest first, so that most of the others end up inside one component untested. Every
+link that joins two components is compared exactly, and none between components is left untested.
 
 Defined cases: fewer than five words are one shingle; null or empty texts have no shingle, are linked
 with nothing and are their own component; rows with a null key get a null component and link nothing;
@@ -35,8 +38,8 @@ from tessera.llm.words import Texts, text_batches
 SHINGLE = 5
 #: Upper bound of a size band over the one before it.
 BAND_RATIO = 1.5
-#: Members from which a group counts as very large.
-LARGE_GROUP = 200
+#: Rounds in which each node tests its nearest open pair before all that are left are tested.
+ROUNDS = 2
 SKETCH_WORDS = 8
 _LOW = np.uint64((1 << 52) - 1)
 
@@ -52,14 +55,13 @@ def size_bands(most: int) -> np.ndarray:
 
 
 def buckets_of(top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, reserve for empty words, reserve for large groups) of bands with the given largest sizes.
+    """(buckets, difference bound, empty words left out at most) of bands with the given largest sizes.
 
-    Sets of a band that belong together differ in a quarter of the largest size at most, so one more
-    word than that bound and the two reserves leaves one that agrees and is not left out.
+    The buckets exceed the bound by one, by the empty words and by an eighth for rarity to choose from.
     """
     bound = top // 4
-    for_empty, for_large = bound // 4 + 1, bound // 8 + 1
-    return bound + 1 + for_empty + for_large, for_empty, for_large
+    for_empty = bound // 4 + 1
+    return bound + 1 + for_empty + bound // 8 + 1, bound, for_empty
 
 
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,9 +99,9 @@ def parity_sketches(tokens: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def band_words(tokens: np.ndarray, doc: np.ndarray, first: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, document, band) of the words that the chosen documents enter.
+    """(key, document, mark) of the words that the chosen documents enter.
 
-    A set enters its own band, and the one below if a set of 80 % of its size can lie there.
+    The mark is the band plus 256 times the number of words that a true partner shares at least. A set enters its own band, and the one below if a set of 80 % of its size can lie there.
     """
     sizes = np.diff(first)
     tops = size_bands(int(sizes.max(initial=1)))
@@ -113,7 +115,7 @@ def band_words(tokens: np.ndarray, doc: np.ndarray, first: np.ndarray, chosen: n
         who = np.flatnonzero(enters)
         if not len(who):
             continue
-        p, for_empty, _ = buckets_of(tops[band[who]])
+        p, bound, for_empty = buckets_of(tops[band[who]])
         base = np.cumsum(p) - p
         row_of = np.full(len(sizes), -1)
         row_of[who] = np.arange(len(who))
@@ -127,10 +129,12 @@ def band_words(tokens: np.ndarray, doc: np.ndarray, first: np.ndarray, chosen: n
         empty = words == 0
         n_empty = np.add.reduceat(empty, base)
         out = ~empty | (n_empty > for_empty)[of]
+        # Agreeing words less the empty ones that this set, or a partner without too many, does not enter.
+        need = p - bound - np.minimum(n_empty, for_empty)
         label = ((np.arange(len(words)) - base[of]) << 8) + band[who][of]
         keys.append(mix64(words ^ mix64(label.astype(np.uint64), 36), 37)[out])
         docs.append(who[of][out])
-        bands.append(band[who][of][out])
+        bands.append((need * 256 + band[who])[of][out])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(docs), np.concatenate(bands)
@@ -156,8 +160,8 @@ def set_table(docs: DataFrame) -> DataFrame:
 
 
 def word_table(docs: DataFrame) -> DataFrame:
-    """(key, node, band) of all sets; a task enters equal sets once."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("band", pa.int32())])
+    """(key, node, mark) of all sets; a task enters equal sets once."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("mark", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -175,7 +179,7 @@ def word_table(docs: DataFrame) -> DataFrame:
                 s = slice(i, i + 100_000)
                 yield pa.RecordBatch.from_arrays([_signed(keys[s]), _signed(node[who[s]]), pa.array(bands[s].astype(np.int32))], schema=schema)
 
-    return docs.mapInArrow(rows, "key long, node long, band int")
+    return docs.mapInArrow(rows, "key long, node long, mark int")
 
 
 def token_table(chosen: DataFrame) -> DataFrame:
@@ -196,11 +200,15 @@ def token_table(chosen: DataFrame) -> DataFrame:
     return chosen.select("node", "leader", "is_leader", "text").mapInArrow(rows, "node long, leader long, is_leader boolean, tokens array<long>")
 
 
+def _hamming(a: str, b: str) -> Column:
+    """Bits in which the sketches of two struct columns differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH])
+
+
 def _near(a: str, b: str) -> Column:
-    """The size and Hamming filters on two nodes' columns; no true link fails them."""
+    """The size and Hamming filters on two struct columns; no true link fails them."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH])
-    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * apart <= na + nb)
+    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * _hamming(a, b) <= na + nb)
 
 
 def _alike(sides: DataFrame) -> DataFrame:
@@ -220,44 +228,60 @@ class Join:
         self.nodes = self.scratch.keep(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), *[F.min(s).alias(s) for s in SKETCH]), "nodes")
 
     def groups(self) -> DataFrame:
-        """(key, node) of the words that two nodes or more share, without those that reserves cover."""
+        """(key, node): the words that nodes share and need to meet every partner."""
         by_key = Window.partitionBy("key")
+        low, high = F.min("node").over(by_key).alias("low"), F.max("node").over(by_key).alias("high")
         words = word_table(self.docs.where("doc_id is not null"))
-        shared = words.select("*", F.min("node").over(by_key).alias("low"), F.max("node").over(by_key).alias("high"), F.count(F.lit(1)).over(by_key).alias("members")).where("low < high")
-        kept = self.scratch.keep(shared.select("key", "node", "band", "members"), "words")
+        shared = words.select("*", low, high, F.count(F.lit(1)).over(by_key).alias("members")).where("low < high")
+        kept = self.scratch.keep(shared.select("key", "node", "mark", "members").distinct(), "words")
         self.scratch.release()
-        reserves = buckets_of(size_bands(1 << 40))[2].tolist()
-        allowed = self.scratch.spark.createDataFrame(list(enumerate(reserves)), "band int, for_large long")
-        large = kept.where(F.col("members") > LARGE_GROUP)
-        counts = large.select("key", "node", "band").distinct().groupBy("node", "band").agg(F.count(F.lit(1)).alias("n_large"))
-        needs = counts.join(F.broadcast(allowed), "band").where("n_large > for_large").select("node", "band")
-        small = kept.where(F.col("members") <= LARGE_GROUP).select("key", "node")
-        return small.union(large.join(needs, ["node", "band"], "left_semi").select("key", "node")).distinct()
-
-    def _with_nodes(self, df: DataFrame, column: str) -> DataFrame:
-        """``df`` with its node's size and sketch as a struct named like the column."""
-        side = self.nodes.select("node", F.struct("n", *SKETCH).alias(f"{column}_")).withColumnRenamed("node", column)
-        return df.join(side, column)
-
-    def _tokens(self, wanted: DataFrame, first: DataFrame) -> DataFrame:
-        """The token sets of the wanted nodes, made again from one text of each, with their leaders."""
-        marked = wanted.join(first.select(F.col("b").alias("node"), F.col("a").alias("leader")), "node", "left")
+        own = Window.partitionBy("node", "mark")
+        need = F.floor(F.col("mark") / 256)
+        enough = kept.withColumn("shared", F.count(F.lit(1)).over(own)).where(F.col("shared") >= need).drop("shared")
+        again = enough.select("*", low, high).where("low < high").drop("low", "high")
+        ranked = again.select("*", F.count(F.lit(1)).over(own).alias("shared"), F.row_number().over(own.orderBy("members", "key")).alias("place"))
+        return ranked.where((F.col("shared") >= need) & (F.col("place") <= F.col("shared") - need + 1)).select("key", "node")
+
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """Of ``pairs(a, b)`` those that the filters pass, with ``apart``: Hamming distance to size."""
+        for c in "ab":
+            pairs = pairs.join(self.nodes.select(F.col("node").alias(c), F.struct("n", *SKETCH).alias(f"{c}_")), c)
+        return pairs.where(_near("a_", "b_")).select("a", "b", (_hamming("a_", "b_") / (F.col("a_.n") + F.col("b_.n"))).alias("apart"))
+
+    def _tokens(self, groups: DataFrame, first: DataFrame) -> DataFrame:
+        """The token sets of all grouped nodes, made again from one text of each, with their leaders."""
+        marked = groups.select("node").distinct().join(first.select(F.col("b").alias("node"), F.col("a").alias("leader")), "node", "left")
         leads = first.select(F.col("a").alias("node"), F.lit(True).alias("is_leader")).distinct()
         reps = self.nodes.join(marked.join(leads, "node", "left"), "node").select("node", "leader", "is_leader", F.col("rep").alias("doc_id"))
         return self.scratch.keep(token_table(self.docs.join(reps, "doc_id")), "tokens")
 
+    def _links(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+        """The true links among ``pairs(a, b)``."""
+        sides = pairs.select("a", "b")
+        for c in "ba":
+            sides = sides.join(tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")), c)
+        return self.scratch.keep(_alike(sides), "links")
+
+    def _open_pairs(self, groups: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
+        """Untested pairs (a, b, apart) of one group that pass the filters and lie in two components."""
+        member = groups.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        by_key = Window.partitionBy("key")
+        mixed = member.select("*", F.min("component").over(by_key).alias("low"), F.max("component").over(by_key).alias("high")).where("low < high").drop("low", "high")
+        side = self.nodes.select("node", F.struct("n", *SKETCH).alias("of"))
+        apart = self.scratch.keep(mixed.join(side, "node"), "apart")
+        x, y = (apart.select("key", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("of").alias(f"{c}_")) for c in "ab")
+        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("a_", "b_"))
+        far = (_hamming("a_", "b_") / (F.col("a_.n") + F.col("b_.n"))).alias("apart")
+        return self.scratch.keep(pairs.select("a", "b", far).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open")
+
     def node_components(self) -> DataFrame:
         """(node, component) of the nodes that have a link."""
         scratch = self.scratch
         groups = scratch.keep(self.groups(), "groups")
-        leaders = groups.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        met = groups.join(leaders, "key").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max("size").alias("size"))
-        close = self._with_nodes(self._with_nodes(met, "a"), "b").where(_near("a_", "b_"))
-        first = scratch.keep(close.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "first")
-        # All that may have to be compared: the pairs above, and members of groups of three or more.
-        more = groups.join(leaders.where("size > 2").select("key"), "key", "left_semi").select("node")
-        wanted = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(more).distinct()
-        tokens = self._tokens(wanted, first)
+        draw = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
+        met = groups.select(F.first("node").over(draw).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+        first = scratch.keep(self._near(met).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "first")
+        tokens = self._tokens(groups, first)
         scratch.release()
         # A follower's set travels once, to its leader's.
         leading = tokens.where("is_leader").select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
@@ -265,18 +289,23 @@ class Join:
         links = scratch.keep(_alike(following.join(leading, "a")), "links")
         scratch.release()
         found = components(links, scratch)
-        member = groups.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        apart = scratch.keep(self._with_nodes(member.join(mixed, "key").select("key", F.col("node").alias("m"), "component"), "m"), "apart")
-        x, y = apart.select("key", F.col("m").alias("a"), F.col("component").alias("ca"), F.col("m_").alias("a_")), apart.select("key", F.col("m").alias("b"), F.col("component").alias("cb"), F.col("m_").alias("b_"))
-        untested = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("a_", "b_")).select("a", "b").distinct()
-        rest = scratch.keep(untested.join(first, ["a", "b"], "left_anti"), "rest")
-        if rest.first() is None:
-            return found
-        sides = rest
-        for c in "ba":
-            sides = sides.join(tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")), c)
-        return components(links.union(_alike(sides)), scratch)
+        left = self._open_pairs(groups, found, first)
+        for turn in range(ROUNDS + 1):
+            if left.first() is None:
+                break
+            now = left
+            if turn < ROUNDS:
+                ends = left.select("a", "b", "apart", F.col("a").alias("node")).union(left.select("a", "b", "apart", F.col("b").alias("node")))
+                nearest = ends.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("pair"))
+                now = scratch.keep(nearest.select("pair.*").distinct(), "now")
+            links = links.union(self._links(now, tokens))
+            found = components(links, scratch)
+            sides = left.join(now, ["a", "b"], "left_anti") if turn < ROUNDS else left.limit(0)
+            for c in "ab":
+                sides = sides.join(found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+            left = scratch.keep(sides.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart"), "left")
+            scratch.release()
+        return found
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""

@@ -93,28 +93,38 @@ def near_copies(seed):
     return [(i, t) for i, t in enumerate(rows)] + [(3, "repeated key"), (None, rows[0])]
 
 
-@pytest.mark.parametrize(("seed", "large"), [(1, 200), (2, 2)])
-def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, large):
-    monkeypatch.setattr(jaccard, "LARGE_GROUP", large)
+@pytest.mark.parametrize(("seed", "rounds"), [(1, 2), (2, 0)])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, rounds):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     rows = near_copies(seed)
     got = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.jaccard_components(frame(spark, rows).selectExpr("*", "1 as node", "2 as key")).collect())
     assert got == jaccard_brute(rows)
 
 
 def test_words_shared_by_true_links(spark):
-    """Every link shares a word that is not left out, whatever the reserve leaves out."""
+    """True links share as many words as their marks say, and one among those that rarity keeps."""
     rows = near_copies(5)
     texts = Texts(pa.array([t for _, t in rows]), lower=True)
     tokens, doc, first = jaccard.shingle_sets(texts)
     import numpy as np
 
-    keys, who, _ = jaccard.band_words(tokens, doc, first, np.ones(len(rows), bool))
-    of = [set(keys[who == i].tolist()) for i in range(len(rows))]
+    keys, who, marks = jaccard.band_words(tokens, doc, first, np.ones(len(rows), bool))
+    members = dict(zip(*(x.tolist() for x in np.unique(keys, return_counts=True)), strict=True))
+    of = [{(m % 256): (m // 256, [k for k, w, n in zip(keys.tolist(), who, marks, strict=True) if w == i and n == m]) for m in set(marks[who == i].tolist())} for i in range(len(rows))]
     sets = [set(tokens[first[i] : first[i + 1]].tolist()) for i in range(len(rows))]
     for i in range(len(rows)):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                assert of[i] & of[j]
+                meet = False
+                for band in of[i].keys() & of[j].keys():
+                    (need_i, own_i), (need_j, own_j) = of[i][band], of[j][band]
+                    if len(set(own_i) & set(own_j)) >= max(need_i, need_j):
+                        kept = []
+                        for need, own in ((need_i, own_i), (need_j, own_j)):
+                            shared = sorted((members[k], k) for k in own if members[k] > 1)
+                            kept.append({k for _, k in shared[: len(shared) - need + 1]})
+                        meet |= bool(kept[0] & kept[1])
+                assert meet
 
 
 def test_jaccard_of_nothing(spark):
