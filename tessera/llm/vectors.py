@@ -27,6 +27,8 @@ from tessera.llm.common import Scratch
 EPSILON = 3.0
 #: Bytes of query vectors that are sent to the workers at once; more are asked in further rounds.
 QUERY_BYTES = 32 << 20
+#: Rows whose distances give the queries their first limits, whatever the table's size.
+SAMPLE_ROWS = 1000
 #: Rows and queries that meet in one estimate.
 ROW_BLOCK, QUERY_BLOCK = 4096, 512
 
@@ -96,39 +98,49 @@ def encode(rows: DataFrame, rotation: Rotation) -> DataFrame:
 def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of paired rows, summed in order of the components in double precision."""
     total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        d = a[:, j].astype(np.float64) - b[:, j].astype(np.float64)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        d = x.astype(np.float64) - y
         total += d * d
     return np.sqrt(total)
 
 
 class Nearest:
-    """The k best (distance, id) of each query so far."""
+    """The k best (distance, id) of each query so far; ``limit`` bounds each query's k-th distance from above."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: Rotation, k: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: Rotation, k: int, limit: np.ndarray | None = None):
         self.ids, self.vectors, self.k = ids, vectors, k
         turned = rotation(vectors)
-        self.turned, self.square = turned.astype(np.float32), (turned**2).sum(1)
+        self.turned, self.square = turned.astype(np.float32), (turned**2).sum(1).astype(np.float32)
         self.distance = np.full((len(ids), k), np.inf)
         self.best = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.limit = np.full(len(ids), np.inf) if limit is None else limit
 
     def meet(self, ids: np.ndarray, codes: np.ndarray, length: np.ndarray, alignment: np.ndarray, vectors: np.ndarray) -> None:
         d = vectors.shape[1]
         signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-        scale = length / alignment
-        spread = EPSILON * length * np.sqrt(np.maximum(0, 1 / alignment**2 - 1) / max(1, d - 1))
+        signs *= (2 / np.sqrt(d) * length / alignment).astype(np.float32)[:, None]
+        square = (length**2).astype(np.float32)
+        spread = (2 * EPSILON * length * np.sqrt(np.maximum(0, 1 / alignment**2 - 1) / max(1, d - 1))).astype(np.float32)
         for start in range(0, len(self.ids), QUERY_BLOCK):
             q = slice(start, start + QUERY_BLOCK)
-            estimate = (self.turned[q] @ signs.T).astype(np.float64) / np.sqrt(d) * scale
-            middle = self.square[q, None] + length**2 - 2 * estimate
-            error = 2 * np.sqrt(self.square[q])[:, None] * spread
-            middle[self.ids[q, None] == ids] = np.inf
-            limit = self.distance[q, -1] ** 2
-            if len(ids) > self.k:
-                limit = np.minimum(limit, np.partition(middle + error, self.k - 1, axis=1)[:, self.k - 1])
-            which, row = np.nonzero((middle - error <= limit[:, None] * (1 + 1e-9)) & np.isfinite(middle))
-            if len(which):
-                self._merge(which + start, ids[row], exact_distances(self.vectors[which + start], vectors[row]))
+            middle = square - self.turned[q] @ signs.T + self.square[q, None]
+            own = self.ids[q, None] == ids
+            middle[own] = np.inf
+            if len(ids) > self.k:  # the nearest by estimate first: they tighten the limits
+                near = np.argpartition(middle, self.k - 1, axis=1)[:, : self.k]
+                which = np.repeat(np.arange(len(near)), self.k)
+                self._compare(which, near.ravel(), start, ids, vectors, own)
+                middle[which, near.ravel()] = np.inf
+            limit = np.minimum(self.limit[q], self.distance[q, -1])
+            bar = (limit**2 * (1 + 1e-5) + 1e-9).astype(np.float32)
+            which, row = np.nonzero(middle - np.sqrt(self.square[q])[:, None] * spread <= bar[:, None])
+            self._compare(which, row, start, ids, vectors, own)
+
+    def _compare(self, which: np.ndarray, row: np.ndarray, start: int, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> None:
+        other = ~own[which, row]
+        which, row = which[other], row[other]
+        if len(which):
+            self._merge(which + start, ids[row], exact_distances(self.vectors[which + start], vectors[row]))
 
     def _merge(self, which: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
         old = np.unique(which)
@@ -141,12 +153,23 @@ class Nearest:
         self.distance[old], self.best[old] = all_d[take].reshape(-1, self.k), all_i[take].reshape(-1, self.k)
 
 
-def _ask(index: DataFrame, rotation: Rotation, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+def first_limits(ids: np.ndarray, vectors: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th distance within a sample of the rows, an upper bound of its k-th distance overall."""
+    out = np.full(len(ids), np.inf)
+    for i, (key, vector) in enumerate(zip(ids, vectors, strict=True)):
+        others = sample[sample_ids != key]
+        if len(others) >= k:
+            out[i] = np.sqrt(np.partition(((others.astype(np.float64) - vector) ** 2).sum(1), k - 1)[k - 1]) * (1 + 1e-9)
+    return out
+
+
+def _ask(index: DataFrame, rotation: Rotation, ids: np.ndarray, vectors: np.ndarray, k: int, limits: np.ndarray) -> DataFrame:
     """Each task's k nearest rows for every one of the given queries."""
-    asked = index.sparkSession.sparkContext.broadcast((ids, vectors))
+    asked = index.sparkSession.sparkContext.broadcast((ids, vectors, limits))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = Nearest(*asked.value, rotation, k)
+        ids, vectors, limits = asked.value
+        near = Nearest(ids, vectors, rotation, k, limits)
         for batch in batches:
             for at in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(at, ROW_BLOCK)
@@ -171,11 +194,14 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10) -> Dat
     queries = index.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     size = queries.count() * max(1, len(rotation.mean)) * 4
     rounds = max(1, -(-size // QUERY_BYTES))
+    some = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vec_id", "vector").collect()
+    sample_ids, sample = np.array([x.vec_id for x in some]), np.array([x.vector for x in some], np.float32)
     parts: list[DataFrame] = []
     for r in range(rounds):
         asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r).orderBy("vec_id").collect()
         if asked:
-            parts.append(_ask(index, rotation, np.array([x.vec_id for x in asked]), np.array([x.vector for x in asked], np.float32), k))
+            ids, of = np.array([x.vec_id for x in asked]), np.array([x.vector for x in asked], np.float32)
+            parts.append(_ask(index, rotation, ids, of, k, first_limits(ids, of, sample_ids, sample, k)))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = parts[0]
