@@ -30,7 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links of 80 % or more."""
-    found = Scratch(spark, "pipeline").keep(jaccard.jaccard_components(docs), "components")
+    scratch = Scratch(spark, "pipeline")
+    found = scratch.keep(jaccard.jaccard_components(docs), "components")
+    scratch.release()
     stay = found.where("doc_id = component_id").groupBy("doc_id").count()
     kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     again = stay.where("count > 1").select("doc_id")

@@ -37,6 +37,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}", 0
+        self.made: list[tuple[DataFrame, str]] = []
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -45,7 +46,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read again."""
         df.write.option("compression", "zstd").parquet(path := self.path(name))
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.made.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self.made[-1][0]
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of steps whose results are kept: it does so when the
@@ -53,13 +55,20 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if f"/{self.root.rsplit('/', 1)[1]}/" in f:
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in [p for f, p in self.made if f is df]:
+            self._delete(path)
+        self.made = [(f, p) for f, p in self.made if f is not df]
+
+    def only(self, *kept: DataFrame) -> None:
+        """Delete all kept tables but these."""
+        for df in [f for f, _ in self.made if not any(f is k for k in kept)]:
+            self.drop(df)
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -310,6 +310,8 @@ class Join:
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
         found = self.scratch.keep(self.node_components(), "components")
+        self.scratch.only(self.rows, self.nodes, found)
+        self.scratch.release()
         labelled = self.nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
         least = labelled.groupBy("component").agg(F.min("rep").alias("least"))
         by_node = labelled.join(least, "component").select("node", "least")
