@@ -165,11 +165,12 @@ def tokens_of(some: list[str], most: int | None = None) -> Tokens:
             start.append(m.start())
             end.append(m.end())
             features.append(_features(token, words[i - 1][0] if i else "", words[i + 1][0] if i + 1 < len(words) else ""))
-            if previous == i - 1:
+            beside = previous == i - 1
+            if beside:
                 chain.append((node - 1, node))
             previous = i
             for key in _keys(token):
-                if key in last_of and last_of[key] != node - 1:
+                if key in last_of and not (beside and last_of[key] == node - 1):
                     skip.append((last_of[key], node))
                 last_of[key] = node
     pairs = [np.array(sorted(set(x)), np.int64).reshape(-1, 2) for x in (chain, skip)]

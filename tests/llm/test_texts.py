@@ -301,7 +301,7 @@ def test_messages_spread_a_label_over_repeated_tokens():
     tokens = pii.tokens_of(["call 5550001111 about " + "x " * 30 + "then 5550001111, and " + "y " * 30 + "or 5550001111"])
     assert len(tokens.skip) == 2 and len(tokens.chain) == 0
     weights = np.zeros((pii.BUCKETS, pii.N_LABELS))
-    only = next(f for f in tokens.features[0] if f not in tokens.features[1])  # evidence at the first token alone
+    only = next(f for f in tokens.features[0] if f not in tokens.features[1:])  # evidence at the first token alone
     weights[only, 4] = 6.0
     skip = np.full((5, 5), -1.0) + 4 * np.eye(5)
     alone = pii.marginals(tokens, pii.Field(weights, np.zeros((5, 5)), np.zeros((5, 5))))
