@@ -22,15 +22,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
+#: Graphs of up to this many edges are stepped in one task: their shuffles would cost more than the work.
+SMALL_EDGES = 200_000
+
+
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, component) for each node with an edge; the component is its least node.
 
     ``edges`` has long columns a and b. Each round is written to the shared folder.
     """
     now = scratch.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    small = now.count() <= SMALL_EDGES
     seen = None
     for _ in range(most_rounds):
-        after = scratch.keep(_small_star(_large_star(now)), "stars")
+        after = scratch.keep(_small_star(_large_star(now.coalesce(1) if small else now)), "stars")
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(now)
         now = after

@@ -11,10 +11,11 @@ largest groups fall away first. A second sketch of 512 bits, one flipped by each
 bound of the difference as its Hamming distance and drops pairs before their sets are compared.
 
 Groups are not expanded into pairs. Every word draws a leader from its group, other ones for other
-words; each node is compared with the nearest of its leaders by Hamming distance. Only members that
-are still apart after that are paired, under the size and Hamming filters, and of those pairs each
-node tests its nearest first, so that most of the others end up inside one component untested. Every
-link that joins two components is compared exactly, and none between components is left untested.
+words and in each of a few rounds; each node is compared with the nearest of its leaders by Hamming
+distance that is not in its component yet. Only members that are still apart after that are paired,
+under the size and Hamming filters, and of those pairs each node tests its nearest first, so that most
+of the others end up inside one component untested. Every link that joins two components is compared
+exactly, and none between components is left untested.
 
 Defined cases: fewer than five words are one shingle; null or empty texts have no shingle, are linked
 with nothing and are their own component; rows with a null key get a null component and link nothing;
@@ -38,8 +39,8 @@ from tessera.llm.words import Texts, text_batches
 SHINGLE = 5
 #: Upper bound of a size band over the one before it.
 BAND_RATIO = 1.5
-#: Rounds in which each node tests its nearest open pair before all that are left are tested.
-ROUNDS = 2
+#: Rounds of leaders, and rounds in which each node tests its nearest open pair before all others are tested.
+LEADER_ROUNDS, ROUNDS = 3, 1
 SKETCH_WORDS = 8
 _LOW = np.uint64((1 << 52) - 1)
 
@@ -262,25 +263,42 @@ class Join:
             sides = sides.join(tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")), c)
         return self.scratch.keep(_alike(sides), "links")
 
-    def _open_pairs(self, groups: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
-        """Untested pairs (a, b, apart) of one group that pass the filters and lie in two components."""
+    @staticmethod
+    def _apart(groups: DataFrame, found: DataFrame) -> DataFrame:
+        """(key, node, component) of the groups that hold more than one component."""
         member = groups.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         by_key = Window.partitionBy("key")
-        mixed = member.select("*", F.min("component").over(by_key).alias("low"), F.max("component").over(by_key).alias("high")).where("low < high").drop("low", "high")
+        both = member.select("*", F.min("component").over(by_key).alias("low"), F.max("component").over(by_key).alias("high"))
+        return both.where("low < high").drop("low", "high")
+
+    def _nearest_leaders(self, member: DataFrame, turn: int) -> DataFrame:
+        """(a, b): for each node b the nearest leader a of its groups in another component."""
+        draw = Window.partitionBy("key").orderBy(F.xxhash64("key", "node", F.lit(turn)), "node")
+        leader = F.first(F.struct("node", "component")).over(draw)
+        met = member.select(leader.alias("lead"), F.col("node").alias("b"), "component").where("lead.component <> component").select(F.col("lead.node").alias("a"), "b").distinct()
+        return self._near(met).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+
+    def _open_pairs(self, apart: DataFrame, tested: DataFrame) -> DataFrame:
+        """Untested pairs (a, b, apart) of one group that pass the filters and lie in two components."""
         side = self.nodes.select("node", F.struct("n", *SKETCH).alias("of"))
-        apart = self.scratch.keep(mixed.join(side, "node"), "apart")
+        apart = self.scratch.keep(apart.join(side, "node"), "apart")
         x, y = (apart.select("key", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("of").alias(f"{c}_")) for c in "ab")
         pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("a_", "b_"))
         far = (_hamming("a_", "b_") / (F.col("a_.n") + F.col("b_.n"))).alias("apart")
-        return self.scratch.keep(pairs.select("a", "b", far).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open")
+        return self.scratch.keep(pairs.select("a", "b", far).distinct().join(tested, ["a", "b"], "left_anti"), "open")
+
+    def _with(self, links: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links and their components once ``more`` are added."""
+        if more.first() is None:
+            return links, found
+        links = links.union(more)
+        return links, components(links, self.scratch)
 
     def node_components(self) -> DataFrame:
         """(node, component) of the nodes that have a link."""
         scratch = self.scratch
         groups = scratch.keep(self.groups(), "groups")
-        draw = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-        met = groups.select(F.first("node").over(draw).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-        first = scratch.keep(self._near(met).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "first")
+        first = scratch.keep(self._nearest_leaders(groups.withColumn("component", F.col("node")), 0), "first")
         tokens = self._tokens(groups, first)
         scratch.release()
         # A follower's set travels once, to its leader's.
@@ -289,7 +307,16 @@ class Join:
         links = scratch.keep(_alike(following.join(leading, "a")), "links")
         scratch.release()
         found = components(links, scratch)
-        left = self._open_pairs(groups, found, first)
+        in_order = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tested = first.select(*in_order)
+        for turn in range(1, LEADER_ROUNDS):
+            met = self._nearest_leaders(self._apart(groups, found), turn).select(*in_order).distinct()
+            now = scratch.keep(met.join(tested, ["a", "b"], "left_anti"), "now")
+            if now.first() is None:
+                break
+            tested = tested.union(now)
+            links, found = self._with(links, found, self._links(now, tokens))
+        left = self._open_pairs(self._apart(groups, found), tested)
         for turn in range(ROUNDS + 1):
             if left.first() is None:
                 break
@@ -298,13 +325,12 @@ class Join:
                 ends = left.select("a", "b", "apart", F.col("a").alias("node")).union(left.select("a", "b", "apart", F.col("b").alias("node")))
                 nearest = ends.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("pair"))
                 now = scratch.keep(nearest.select("pair.*").distinct(), "now")
-            links = links.union(self._links(now, tokens))
-            found = components(links, scratch)
-            sides = left.join(now, ["a", "b"], "left_anti") if turn < ROUNDS else left.limit(0)
-            for c in "ab":
-                sides = sides.join(found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
-            left = scratch.keep(sides.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart"), "left")
-            scratch.release()
+            links, found = self._with(links, found, self._links(now, tokens))
+            if turn < ROUNDS:
+                sides = left.join(now, ["a", "b"], "left_anti")
+                for c in "ab":
+                    sides = sides.join(found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+                left = scratch.keep(sides.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart"), "left")
         return found
 
     def result(self) -> DataFrame:
