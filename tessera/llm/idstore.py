@@ -217,8 +217,9 @@ def read_documents(spark: SparkSession, path: str, width: int = 16) -> DataFrame
 def lookup(store: DataFrame, wanted: DataFrame, width: int = 16) -> DataFrame:
     """(doc_id, ids) for each wanted key that the store holds; its first row where the key repeats.
 
-    ``store`` is the shard table, ``wanted`` has doc_id. Keys meet their shard by a range join on the
-    shards' bounds, then one probe of its index each.
+    ``store`` is the shard table, ``wanted`` has doc_id. Key ranges are cut into steps of the shards'
+    mean span, so a shard lies in two steps on average and keys find their shards by an equi-join; one
+    probe of the index follows for each key.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
@@ -231,9 +232,12 @@ def lookup(store: DataFrame, wanted: DataFrame, width: int = 16) -> DataFrame:
                 ids = [payload[s : s + n].astype("<u4").tobytes() for s, n in zip(starts[found].tolist(), lengths[found].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[found]), pa.array(ids, pa.binary())], schema=schema)
 
-    bounds = store.select("part", "shard", "first_key", "last_key")
-    keys = wanted.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
-    routed = keys.join(bounds, F.col("key").between(F.col("first_key"), F.col("last_key")))
+    bounds = store.where("first_key is not null").select("part", "shard", "first_key", "last_key")
+    step = max(1, int(bounds.agg(F.avg(F.col("last_key") - F.col("first_key") + 1)).first()[0] or 1))
+    on = lambda c: F.floor(F.col(c) / step).cast("long")
+    spread = bounds.withColumn("step", F.explode(F.sequence(on("first_key"), on("last_key"))))
+    keys = wanted.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct().withColumn("step", on("key"))
+    routed = keys.join(spread, "step").where(F.col("key").between(F.col("first_key"), F.col("last_key")))
     asked = routed.withColumn("block", F.floor(F.col("key") / 4096)).groupBy("part", "shard", "block").agg(F.collect_list("key").alias("wanted"))
     return store.join(asked, ["part", "shard"]).select("wanted", "levels", "places", "payload").mapInArrow(probe, "doc_id long, ids binary")
 
