@@ -30,7 +30,9 @@ QUERY_BYTES = 32 << 20
 #: Rows whose distances give the queries their first limits, whatever the table's size.
 SAMPLE_ROWS = 1000
 #: Rows and queries that meet in one estimate.
-ROW_BLOCK, QUERY_BLOCK = 4096, 512
+ROW_BLOCK, QUERY_BLOCK = 4096, 64
+#: Share of chosen pairs from which a block's single-precision products are taken at once.
+DENSE = 0.05
 
 CODED = "vec_id long, code binary, length double, alignment double, vector array<float>"
 FOUND = "query_id long, vec_id long, score double"
@@ -114,12 +116,13 @@ class Nearest:
         self.distance = np.full((len(ids), k), np.inf)
         self.best = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.limit = np.full(len(ids), np.inf) if limit is None else limit
+        self.norm = np.einsum("ij,ij->i", vectors, vectors)
 
     def meet(self, ids: np.ndarray, codes: np.ndarray, length: np.ndarray, alignment: np.ndarray, vectors: np.ndarray) -> None:
         d = vectors.shape[1]
         signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
         signs *= (2 / np.sqrt(d) * length / alignment).astype(np.float32)[:, None]
-        square = (length**2).astype(np.float32)
+        square, norm = (length**2).astype(np.float32), np.einsum("ij,ij->i", vectors, vectors)
         spread = (2 * EPSILON * length * np.sqrt(np.maximum(0, 1 / alignment**2 - 1) / max(1, d - 1))).astype(np.float32)
         for start in range(0, len(self.ids), QUERY_BLOCK):
             q = slice(start, start + QUERY_BLOCK)
@@ -134,7 +137,14 @@ class Nearest:
             limit = np.minimum(self.limit[q], self.distance[q, -1])
             bar = (limit**2 * (1 + 1e-5) + 1e-9).astype(np.float32)
             which, row = np.nonzero(middle - np.sqrt(self.square[q])[:, None] * spread <= bar[:, None])
-            self._compare(which, row, start, ids, vectors, own)
+            # Single precision, with room for its rounding, leaves few pairs for the exact distance.
+            if len(which) > DENSE * middle.size:
+                product = (self.vectors[q] @ vectors.T)[which, row]
+            else:
+                product = np.einsum("ij,ij->i", self.vectors[q][which], vectors[row])
+            size = self.norm[q][which] + norm[row]
+            close = size - 2 * product <= bar[which] + 1e-5 * size
+            self._compare(which[close], row[close], start, ids, vectors, own)
 
     def _compare(self, which: np.ndarray, row: np.ndarray, start: int, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> None:
         other = ~own[which, row]
