@@ -27,7 +27,7 @@ from tessera.llm.words import Texts, sums_by_document, text_batches
 #: Fixed thresholds of the base rules and of the verdict.
 MIN_WORDS, MAX_REPEATED_PERCENT, MIN_PROBABILITY = 50, 50, 0.5
 #: At most this many different labelled texts of each label are trained on.
-PER_CLASS = 1000
+PER_CLASS = 500
 #: Hash buckets of each feature family, and the factor on their relative frequencies.
 BUCKETS, SCALE = 1 << 17, 30.0
 FAMILIES = 4
@@ -129,22 +129,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
     bucket = np.concatenate([np.frombuffer(r.buckets, np.int32) for r in rows])
     value = np.concatenate([np.frombuffer(r.frequencies, np.float32) for r in rows])
     sizes = np.array([len(r.buckets) // 4 for r in rows])
-    row = np.repeat(np.arange(len(rows)), sizes)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    del rows[:]  # the driver holds one copy
     used, bucket = np.unique(bucket, return_inverse=True)
+    bucket = bucket.astype(np.int32)
     train = ~held[row]
-    tb, tv, tr = bucket[train], value[train].astype(np.float64), row[train]
+    tb, tv, tr = bucket[train], value[train], row[train]
     balance = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
     w, b = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, rounds + 1):  # Adam over the whole training part
-        z = np.bincount(tr, w[tb] * tv, len(rows)) + b
+        z = np.bincount(tr, w[tb] * tv, len(y)) + b
         error = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         grad = np.append(np.bincount(tb, error[tr] * tv, len(used)) + 1e-6 * w, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
     weights[used] = w
-    z = np.bincount(row, w[bucket] * value, len(rows)) + b
+    z = np.bincount(row, w[bucket] * value, len(y)) + b
     slope, shift = _platt(z[held], y[held])
     return Model(weights, float(b), slope, shift)
 
