@@ -27,7 +27,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Text bytes handled at once; the arrays beside it take some sixty times as much.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 600_000
 
 
 def base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
