@@ -7,6 +7,7 @@ one running sum over the buffer and brought to the word's start with the inverse
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,9 +118,21 @@ class Texts:
         return out[room], np.flatnonzero(room)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers are kept for later stages and share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+#: glibc's malloc_trim; other C libraries have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in slices small enough for ``Texts``."""
-    return sliced(batches, text, most, 4096)
+    """The batches in slices small enough for ``Texts``; at a task's end, freed memory is given back."""
+    yield from sliced(batches, text, most, 4096)
+    _give_back()
 
 
 def sums_by_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:
