@@ -177,6 +177,21 @@ def test_every_exact_run_of_fifty_words_is_covered(spark):
                 assert covered(found, key, i, i + 50)
 
 
+def test_evenly_and_randomly_edited_passages_share_a_seed():
+    rnd = random.Random(12)
+    for edit in (10, 12, 0.1, 0.15, 0.2):
+        found = 0
+        for _ in range(100):
+            passage = prose(rnd, 60, 10**6)
+            copy, edits = list(passage), range(edit - 1, 60, edit) if edit >= 1 else rnd.sample(range(60), int(60 * edit))
+            for k in edits:
+                copy[k] = f"edited{k}"
+            pair = Texts(pa.array([" ".join(prose(rnd, 100, 10**6) + x + prose(rnd, 100, 10**6)) for x in (passage, copy)]), lower=True)
+            seed, doc, _ = passages.seeds(pair)
+            found += bool(set(seed[doc == 0].tolist()) & set(seed[doc == 1].tolist()))
+        assert found >= (70 if edit == 0.2 else 85), edit
+
+
 def test_chains_equal_a_search_over_all_predecessors():
     import numpy as np
 
