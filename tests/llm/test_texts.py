@@ -192,6 +192,20 @@ def test_evenly_and_randomly_edited_passages_share_a_seed():
         assert found >= (70 if edit == 0.2 else 85), edit
 
 
+def test_ends_of_a_passage_go_on_over_inserted_and_deleted_words():
+    import numpy as np
+
+    rnd = random.Random(13)
+    for gaps in ([20, 40], [15, 30, 45], [12, 24, 36, 48]):
+        a = np.array(rnd.sample(range(10**6), 60), np.uint32)
+        b = np.delete(np.insert(a, gaps, 2**31 + np.arange(len(gaps))), 5)
+        a, b = (np.concatenate([rnd.sample(range(2 * 10**6, 3 * 10**6), 100), x, rnd.sample(range(4 * 10**6, 5 * 10**6), 100)]) for x in (a, b))
+        at = 100 + gaps[0] + 1  # one seed, behind the first gap
+        parts = np.array([[at, at + 8, at, at + 8]])
+        assert (a[at : at + 8] == b[at : at + 8]).all()
+        assert passages.align(a, b, parts, [0]) == [(100, 160, 100, 159 + len(gaps))]
+
+
 def test_chains_equal_a_search_over_all_predecessors():
     import numpy as np
 
