@@ -206,6 +206,17 @@ def test_ends_of_a_passage_go_on_over_inserted_and_deleted_words():
         assert passages.align(a, b, parts, [0]) == [(100, 160, 100, 159 + len(gaps))]
 
 
+def test_a_passage_is_found_among_many_shorter_pieces_of_it(spark):
+    rnd, rows, full = random.Random(14), [], []
+    for _ in range(10):
+        passage = prose(rnd, 60, 10**6)
+        for n in range(32):
+            at = rnd.randrange(16)
+            rows.append((len(rows), " ".join(prose(rnd, 60, 10**6) + (passage if n < 2 else passage[at : at + 45]) + prose(rnd, 60, 10**6))))
+            full += [rows[-1][0]] * (n < 2)
+    assert {r.doc_id for r in passages.repeated_passages(frame(spark, rows)).collect()} == set(full)
+
+
 def test_chains_equal_a_search_over_all_predecessors():
     import numpy as np
 
