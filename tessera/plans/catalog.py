@@ -153,6 +153,11 @@ def delete_lock_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lock_state(rows.union(rows.where("row_index < 5")))
 
 
+def delete_lock_state_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the table is requested, rows of low quantity once more."""
+    return lock_state(_version_source(spark, sf_dir).select("row_index").union(_low(spark, sf_dir)))
+
+
 def update_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = Table(_version_source(spark, sf_dir), chunk_rows=CHUNK)
     table.update(_new_rows(spark, sf_dir), _low(spark, sf_dir))
@@ -236,6 +241,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "insert_chunk_ranges": (insert_chunk_ranges, f"select ri // 512 as chunk_id, min(ri % 512) as begin_offset, max(ri % 512) + 1 as end_offset from (select row_index + (select count(*) from lineitem) as ri from {_P}) group by 1"),
     "delete_visible": (delete_visible, f"{_BASE} where not ({_Q} < 10)"),
     "delete_lock_state": (delete_lock_state, "select cast(r as bigint) as row_index, count(*) % 2 = 1 as locked from (select unnest(range(0, 10)) as r union all select unnest(range(0, 5))) group by r"),
+    "delete_lock_state_all": (delete_lock_state_all, f"select row_index, count(*) % 2 = 1 as locked from (select row_index from {_L} union all select row_index from {_L} where {_Q} < 10) group by row_index"),
     "update_replace": (update_replace, f"{_BASE} where not ({_Q} < 10) union all {_NEW}"),
     "row_versions": (row_versions, f"select cast(0 as bigint) as _begin_cid, case when {_Q} < 10 then 1 else 4294967294 end as _end_cid, count(*) as n from lineitem group by all union all select 1, 4294967294, count(*) from part"),
     "snapshot_before": (snapshot_before, f"{_BASE} union all {_NEW}"),

@@ -30,6 +30,12 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got, columns) == rows(expected, columns)
 
 
+def test_lock_state_covers_every_row_of_the_table(spark, duck):
+    got = catalog.queries()["delete_lock_state_all"](spark, SF).toPandas()
+    assert len(got) == duck.execute("select count(*) from lineitem").fetchone()[0] == got.row_index.nunique()
+    assert 0 < got.locked.sum() < len(got)
+
+
 def test_entry_module_lists_what_it_can_run():
     import __spark_entry__ as entry
 
