@@ -11,15 +11,19 @@ largest groups fall away first. A second sketch of 512 bits, one flipped by each
 bound of the difference as its Hamming distance and drops pairs before their sets are compared.
 
 Groups are not expanded into pairs. Every word draws a leader from its group, other ones for other
-words and in each of a few rounds; each node is compared with the nearest of its leaders by Hamming
-distance that is not in its component yet. Only members that are still apart after that are paired,
-under the size and Hamming filters, and of those pairs each node tests its nearest first, so that most
-of the others end up inside one component untested. Every link that joins two components is compared
-exactly, and none between components is left untested.
+words, and each node is compared with the nearest of its leaders by Hamming distance. Only members that
+are still in different components after that are paired, under the size and Hamming filters. Every link
+that joins two components is compared exactly, and none between components is left untested.
+
+No word's group is gathered in one task: a task sends a word that it meets often on by its key a few
+times only and deals its other rows over lots, as all of them are known to be shared (such words count
+as the most common ones in the order by rarity); later steps over groups are partial aggregates and
+joins, which adaptive execution splits.
 
 Defined cases: fewer than five words are one shingle; null or empty texts have no shingle, are linked
-with nothing and are their own component; rows with a null key get a null component and link nothing;
-rows that repeat a key are one member each; an empty table gives no rows; other columns are not read.
+with nothing and are their own component, whatever else has their key; rows with a null key get a null component and link nothing;
+rows that repeat a key are one document with several texts, linked with what any of them is linked to;
+an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,14 +37,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, mix64
-from tessera.llm.components import components
+from tessera.llm.components import EDGES_PER_TASK, components
 from tessera.llm.words import Texts, text_batches
 
 SHINGLE = 5
 #: Upper bound of a size band over the one before it.
 BAND_RATIO = 1.5
-#: Rounds of leaders, and rounds in which each node tests its nearest open pair before all others are tested.
-LEADER_ROUNDS, ROUNDS = 3, 1
+#: Leaders that each node is compared with.
+LEADERS = 3
+#: Rows of one word in a slice of a task that make the word hot there, lots that its further rows are dealt
+#: over, and the members that a hot word counts for.
+HOT_ROWS, LOTS, HOT = 8, 1 << 16, 1 << 40
 SKETCH_WORDS = 8
 _LOW = np.uint64((1 << 52) - 1)
 
@@ -160,12 +167,37 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, ", ".join(f"{f.name} long" for f in schema))
 
 
-def word_table(docs: DataFrame) -> DataFrame:
-    """(key, node, mark) of all sets; a task enters equal sets once."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("mark", pa.int32())])
+def _lots(keys: np.ndarray, nodes: np.ndarray, hot: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lot of each row, hot keys of the task so far): which rows of very common words go apart.
+
+    Of a key that more than ``most`` rows of one slice have, these are sent by key with the mark -1, and
+    later rows of the task to lots 1..``LOTS`` by node. Rows of other keys are lot 0.
+    """
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(keys)))
+    place = np.arange(len(keys)) - np.repeat(first, size)
+    known = np.isin(ordered[first], hot)
+    new = ~known & (size > most)
+    of_new, of_known = np.repeat(new, size), np.repeat(known, size)
+    lot = np.where(of_known | (of_new & (place >= most)), 1 + (mix64(nodes[order], 38) % np.uint64(LOTS)).astype(np.int32), np.where(of_new, -1, 0))
+    out = np.zeros(len(keys), np.int32)
+    out[order] = lot
+    return out, np.union1d(hot, ordered[first[new]]) if new.any() else hot
+
+
+def word_table(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(key, node, mark, lot) of all sets; a task enters equal sets once.
+
+    Rows of one key and lot 0 or -1 belong together; a key has at most ``hot_rows`` rows for each slice of a
+    task until it is found hot there, its further rows are dealt over lots.
+    """
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("mark", pa.int32()), ("lot", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        hot = np.zeros(0, np.uint64)
         for batch in text_batches(batches):
             texts = Texts(batch.column("text"), lower=True)
             tokens, doc, first = shingle_sets(texts)
@@ -176,19 +208,20 @@ def word_table(docs: DataFrame) -> DataFrame:
                     seen.add(f)
                     new[i] = True
             keys, who, bands = band_words(tokens, doc, first, new)
+            lots, hot = _lots(keys, node[who], hot, hot_rows)
             for i in range(0, len(keys), 100_000):
                 s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([_signed(keys[s]), _signed(node[who[s]]), pa.array(bands[s].astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([_signed(keys[s]), _signed(node[who[s]]), pa.array(bands[s].astype(np.int32)), pa.array(lots[s])], schema=schema)
 
-    return docs.mapInArrow(rows, "key long, node long, mark int")
+    return docs.mapInArrow(rows, "key long, node long, mark int, lot int")
 
 
 def token_table(chosen: DataFrame) -> DataFrame:
-    """(node, leader, is_leader, tokens) from ``chosen(node, leader, is_leader, text)``.
+    """(node, tokens) from ``chosen(node, text)``.
 
     Texts whose set is not the node's (another row of its document's key) are passed over.
     """
-    schema = pa.schema([("node", pa.int64()), ("leader", pa.int64()), ("is_leader", pa.bool_()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -196,9 +229,9 @@ def token_table(chosen: DataFrame) -> DataFrame:
             tokens, doc, first = shingle_sets(texts)
             own = fingerprints(tokens, doc, len(texts)).view(np.int64) == np.asarray(batch.column("node"))
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), _signed(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("leader"), batch.column("is_leader"), lists], schema=schema).filter(pa.array(own))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], schema=schema).filter(pa.array(own))
 
-    return chosen.select("node", "leader", "is_leader", "text").mapInArrow(rows, "node long, leader long, is_leader boolean, tokens array<long>")
+    return chosen.select("node", "text").mapInArrow(rows, "node long, tokens array<long>")
 
 
 def _hamming(a: str, b: str) -> Column:
@@ -212,135 +245,95 @@ def _near(a: str, b: str) -> Column:
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * _hamming(a, b) <= na + nb)
 
 
-def _alike(sides: DataFrame) -> DataFrame:
-    """The pairs of ``sides(a, b, ta, tb)`` whose sets have a Jaccard index of 80 % or more."""
-    common = F.size(F.array_intersect("ta", "tb"))
-    return sides.where(100 * common >= 80 * (F.size("ta") + F.size("tb") - common)).select("a", "b")
-
-
 class Join:
     """The join's steps over one table of documents."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, hot_rows: int = HOT_ROWS, edges_per_task: int = EDGES_PER_TASK):
+        self.hot_rows, self.edges_per_task = hot_rows, edges_per_task
         self.scratch = Scratch(docs.sparkSession, "jaccard")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.rows = self.scratch.keep(set_table(self.docs), "rows")
+
+    def nodes(self) -> DataFrame:
+        """(node, rep, of(rep, n, sketch)) of the different sets; ``rep`` is the least document that has the set."""
         known = self.rows.where("doc_id is not null and n_shingles > 0")
-        self.nodes = self.scratch.keep(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), *[F.min(s).alias(s) for s in SKETCH]), "nodes")
+        least = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), *[F.min(s).alias(s) for s in SKETCH])
+        return least.select("node", "rep", F.struct("rep", "n", *SKETCH).alias("of"))
 
     def groups(self) -> DataFrame:
-        """(key, node): the words that nodes share and need to meet every partner."""
-        by_key = Window.partitionBy("key")
-        low, high = F.min("node").over(by_key).alias("low"), F.max("node").over(by_key).alias("high")
-        words = word_table(self.docs.where("doc_id is not null"))
-        shared = words.select("*", low, high, F.count(F.lit(1)).over(by_key).alias("members")).where("low < high")
-        kept = self.scratch.keep(shared.select("key", "node", "mark", "members").distinct(), "words")
-        self.scratch.release()
+        """(key, node, of): the words that nodes share and need to meet every partner."""
+        words = word_table(self.docs.where("doc_id is not null"), self.hot_rows).withColumn("part", F.greatest("lot", F.lit(0)))
+        by_key = Window.partitionBy("key", "part")
+        members = F.when(F.min("lot").over(by_key) < 0, HOT).when(F.col("lot") > 0, HOT).otherwise(F.count(F.lit(1)).over(by_key))
+        met = words.select("key", "part", "node", "mark", "lot", members.alias("members"), F.min("node").over(by_key).alias("low"), F.max("node").over(by_key).alias("high"))
+        shared = met.where("lot > 0 or low < high").select("key", "part", "node", "mark", "members").distinct().select("key", "node", "mark", "members")
         own = Window.partitionBy("node", "mark")
         need = F.floor(F.col("mark") / 256)
-        enough = kept.withColumn("shared", F.count(F.lit(1)).over(own)).where(F.col("shared") >= need).drop("shared")
-        again = enough.select("*", low, high).where("low < high").drop("low", "high")
-        ranked = again.select("*", F.count(F.lit(1)).over(own).alias("shared"), F.row_number().over(own.orderBy("members", "key")).alias("place"))
-        return ranked.where((F.col("shared") >= need) & (F.col("place") <= F.col("shared") - need + 1)).select("key", "node")
-
-    def _near(self, pairs: DataFrame) -> DataFrame:
-        """Of ``pairs(a, b)`` those that the filters pass, with ``apart``: Hamming distance to size."""
-        for c in "ab":
-            pairs = pairs.join(self.nodes.select(F.col("node").alias(c), F.struct("n", *SKETCH).alias(f"{c}_")), c)
-        return pairs.where(_near("a_", "b_")).select("a", "b", (_hamming("a_", "b_") / (F.col("a_.n") + F.col("b_.n"))).alias("apart"))
-
-    def _tokens(self, groups: DataFrame, first: DataFrame) -> DataFrame:
-        """The token sets of all grouped nodes, made again from one text of each, with their leaders."""
-        marked = groups.select("node").distinct().join(first.select(F.col("b").alias("node"), F.col("a").alias("leader")), "node", "left")
-        leads = first.select(F.col("a").alias("node"), F.lit(True).alias("is_leader")).distinct()
-        reps = self.nodes.join(marked.join(leads, "node", "left"), "node").select("node", "leader", "is_leader", F.col("rep").alias("doc_id"))
-        return self.scratch.keep(token_table(self.docs.join(reps, "doc_id")), "tokens")
-
-    def _links(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-        """The true links among ``pairs(a, b)``."""
-        sides = pairs.select("a", "b")
-        for c in "ba":
-            sides = sides.join(tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")), c)
-        return self.scratch.keep(_alike(sides), "links")
+        ranked = shared.repartition("node").select("*", F.count(F.lit(1)).over(own).alias("shared"), F.row_number().over(own.orderBy("members", "key")).alias("place"))
+        needed = ranked.where((F.col("shared") >= need) & (F.col("place") <= F.col("shared") - need + 1)).select("key", "node")
+        return needed.join(self.nodes().select("node", "of"), "node").select("key", "node", "of")
+
+    @staticmethod
+    def _nearest_leaders(groups: DataFrame) -> DataFrame:
+        """(a, b, ca, cb): for each node b the nearest leaders a of its groups, ``LEADERS`` at most, with both reps."""
+        draw = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "of")).alias("lead")
+        leads = groups.groupBy("key").agg(draw, F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+        sides = groups.join(leads.select("key", "lead"), "key").select(F.col("lead.node").alias("a"), F.col("lead.of").alias("a_"), F.col("node").alias("b"), F.col("of").alias("b_"))
+        near = sides.where((F.col("a") != F.col("b")) & _near("a_", "b_"))
+        to = F.struct((_hamming("a_", "b_") / (F.col("a_.n") + F.col("b_.n"))).alias("apart"), "a", F.col("a_.rep").alias("ca"))
+        some = near.groupBy("b").agg(F.min("b_.rep").alias("cb"), F.slice(F.array_sort(F.collect_set(to)), 1, LEADERS).alias("to"))
+        return some.select("b", "cb", F.explode("to").alias("to")).select("to.a", "b", "to.ca", "cb")
+
+    def _tokens(self, groups: DataFrame) -> DataFrame:
+        """The token sets of all grouped nodes, made again from one text of each."""
+        reps = groups.groupBy("node").agg(F.min("of.rep").alias("doc_id"))
+        return token_table(self.docs.join(reps, "doc_id"))
 
     @staticmethod
-    def _apart(groups: DataFrame, found: DataFrame) -> DataFrame:
-        """(key, node, component) of the groups that hold more than one component."""
-        member = groups.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        by_key = Window.partitionBy("key")
-        both = member.select("*", F.min("component").over(by_key).alias("low"), F.max("component").over(by_key).alias("high"))
-        return both.where("low < high").drop("low", "high")
-
-    def _nearest_leaders(self, member: DataFrame, turn: int) -> DataFrame:
-        """(a, b): for each node b the nearest leader a of its groups in another component."""
-        draw = Window.partitionBy("key").orderBy(F.xxhash64("key", "node", F.lit(turn)), "node")
-        leader = F.first(F.struct("node", "component")).over(draw)
-        met = member.select(leader.alias("lead"), F.col("node").alias("b"), "component").where("lead.component <> component").select(F.col("lead.node").alias("a"), "b").distinct()
-        return self._near(met).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-
-    def _open_pairs(self, apart: DataFrame, tested: DataFrame) -> DataFrame:
-        """Untested pairs (a, b, apart) of one group that pass the filters and lie in two components."""
-        side = self.nodes.select("node", F.struct("n", *SKETCH).alias("of"))
-        apart = self.scratch.keep(apart.join(side, "node"), "apart")
+    def _links(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+        """(a, b): what stands for both ends (``ca``, ``cb``) of the true links among ``pairs(a, b, ca, cb)``."""
+        sides = pairs
+        for c in "ba":
+            sides = sides.join(tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")), c)
+        common = F.size(F.array_intersect("ta", "tb"))
+        return sides.where(100 * common >= 80 * (F.size("ta") + F.size("tb") - common)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+    def _open_pairs(self, groups: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs (a, b, ca, cb) of one group that pass the filters and lie in two components, ca and cb."""
+        of = groups.select("key", "node", "of", F.col("of.rep").alias("rep")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        member = of.select("key", "node", F.coalesce("component", "rep").alias("component"), "of")
+        split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        apart = self.scratch.keep(member.join(split, "key"), "apart")
         x, y = (apart.select("key", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("of").alias(f"{c}_")) for c in "ab")
         pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("a_", "b_"))
-        far = (_hamming("a_", "b_") / (F.col("a_.n") + F.col("b_.n"))).alias("apart")
-        return self.scratch.keep(pairs.select("a", "b", far).distinct().join(tested, ["a", "b"], "left_anti"), "open")
-
-    def _with(self, links: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The links and their components once ``more`` are added."""
-        if more.first() is None:
-            return links, found
-        links = links.union(more)
-        return links, components(links, self.scratch)
-
-    def node_components(self) -> DataFrame:
-        """(node, component) of the nodes that have a link."""
+        return pairs.select("a", "b", "ca", "cb").distinct()
+
+    def _repeated(self) -> DataFrame:
+        """(a, b): least documents of the sets of documents that have several."""
+        rows = self.rows.where("doc_id is not null and n_shingles > 0").select("doc_id", "node")
+        several = rows.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("doc_id")
+        return rows.join(several, "doc_id").distinct().join(self.nodes().select("node", "rep"), "node").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
+    def document_components(self) -> DataFrame:
+        """(node, component) of the least documents of sets that have a link; the component is the least of them."""
         scratch = self.scratch
         groups = scratch.keep(self.groups(), "groups")
-        first = scratch.keep(self._nearest_leaders(groups.withColumn("component", F.col("node")), 0), "first")
-        tokens = self._tokens(groups, first)
         scratch.release()
-        # A follower's set travels once, to its leader's.
-        leading = tokens.where("is_leader").select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-        following = tokens.where("leader is not null").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("tokens").alias("tb"))
-        links = scratch.keep(_alike(following.join(leading, "a")), "links")
+        first = scratch.keep(self._nearest_leaders(groups), "leaders")
+        tokens = scratch.keep(self._tokens(groups), "tokens")
         scratch.release()
-        found = components(links, scratch)
-        in_order = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = first.select(*in_order)
-        for turn in range(1, LEADER_ROUNDS):
-            met = self._nearest_leaders(self._apart(groups, found), turn).select(*in_order).distinct()
-            now = scratch.keep(met.join(tested, ["a", "b"], "left_anti"), "now")
-            if now.first() is None:
-                break
-            tested = tested.union(now)
-            links, found = self._with(links, found, self._links(now, tokens))
-        left = self._open_pairs(self._apart(groups, found), tested)
-        for turn in range(ROUNDS + 1):
-            if left.first() is None:
-                break
-            now = left
-            if turn < ROUNDS:
-                ends = left.select("a", "b", "apart", F.col("a").alias("node")).union(left.select("a", "b", "apart", F.col("b").alias("node")))
-                nearest = ends.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("pair"))
-                now = scratch.keep(nearest.select("pair.*").distinct(), "now")
-            links, found = self._with(links, found, self._links(now, tokens))
-            if turn < ROUNDS:
-                sides = left.join(now, ["a", "b"], "left_anti")
-                for c in "ab":
-                    sides = sides.join(found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
-                left = scratch.keep(sides.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart"), "left")
-        return found
+        found = components(self._links(first, tokens).union(self._repeated()), scratch, self.edges_per_task)
+        more = self._links(self._open_pairs(groups, found), tokens)
+        return components(more.union(found.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch, self.edges_per_task)
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
-        found = self.scratch.keep(self.node_components(), "components")
-        self.scratch.only(self.rows, self.nodes, found)
+        found = self.document_components()
+        least = self.nodes().select("node", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        # written, so that adaptive execution can split the rows of a set that many documents have
+        by_node = self.scratch.keep(least.select("node", F.coalesce("component", "rep").alias("least")), "components")
+        self.scratch.only(self.rows, by_node)
         self.scratch.release()
-        labelled = self.nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-        least = labelled.groupBy("component").agg(F.min("rep").alias("least"))
-        by_node = labelled.join(least, "component").select("node", "least")
         own = F.when(F.col("n_shingles") > 0, F.col("node"))
         rows = self.rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("node"))
         return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

@@ -46,6 +46,8 @@ def test_components_of_paths_stars_and_loops(spark):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    many = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), edges_per_task=7)
+    assert {r.node: r.component for r in many.collect()} == got
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
@@ -66,6 +68,8 @@ def jaccard_brute(rows):
 
     for i in sets:
         for j in range(i):
+            if sets[i] and sets[j] and rows[i][0] is not None and rows[i][0] == rows[j][0]:
+                root[find(i)] = find(j)
             both = len(sets[i] & sets[j])
             if both and None not in (rows[i][0], rows[j][0]) and 100 * both >= 80 * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
@@ -93,14 +97,27 @@ def near_copies(seed):
     return [(i, t) for i, t in enumerate(rows)] + [(3, "repeated key"), (None, rows[0])]
 
 
-@pytest.mark.parametrize(("seed", "rounds"), [(1, 2), (2, 0)])
-def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, rounds):
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+@pytest.mark.parametrize(("seed", "hot_rows", "edges_per_task", "leaders"), [(1, 8, 200_000, 3), (2, 2, 5, 1)])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, hot_rows, edges_per_task, leaders):
+    """Also with words that count as hot, steps of components in many tasks, and few leaders."""
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
     rows = near_copies(seed)
-    got = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.jaccard_components(frame(spark, rows).selectExpr("*", "1 as node", "2 as key")).collect())
+    rows += [(9, rows[40][1]), (7, "")]  # a document of two texts, and one of a text without words
+    docs = frame(spark, rows).selectExpr("*", "1 as node", "2 as key", "3 as rep", "4 as component").repartition(3)
+    got = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.Join(docs, hot_rows, edges_per_task).result().collect())
     assert got == jaccard_brute(rows)
 
 
+def test_lots_keep_a_few_rows_of_hot_words_by_key():
+    import numpy as np
+
+    keys = np.array([5] * 10 + [7] * 3 + [9], np.uint64)
+    lot, hot = jaccard._lots(keys, np.arange(14, dtype=np.uint64), np.zeros(0, np.uint64), 4)
+    assert lot[:10].tolist().count(-1) == 4 and (lot[:10] != 0).all() and not lot[10:].any() and hot.tolist() == [5]
+    lot, hot = jaccard._lots(keys[:2], np.arange(2, dtype=np.uint64), hot, 4)
+    assert (lot > 0).all() and hot.tolist() == [5]
+
+
 def test_words_shared_by_true_links(spark):
     """True links share as many words as their marks say, and one among those that rarity keeps."""
     rows = near_copies(5)
