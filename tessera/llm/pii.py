@@ -1,23 +1,31 @@
 r"""Personal data: exact base patterns, and a skip-chain conditional random field for what they miss.
 
 The field's variables are the tokens (runs without white space) that hold a digit, '@' or a leading
-'+'; all other tokens are outside. Neighbouring variables share a chain potential; tokens that repeat
-earlier ones, wholly, in their digits, or in the name before an '@', share a skip potential with the
-next such token, however far. Loopy sum-product messages over both kinds of edges carry evidence
-across a document, so a number or name that is certain in one place is found in others. Potentials are
-trained piecewise on a bounded sample of documents that the base patterns label: the token part by
-multinomial regression, the edge parts from label co-occurrence.
+'+', and tokens beside an '@' at a token's end; all other tokens are outside. Neighbouring variables
+share a chain potential; tokens that repeat earlier ones, wholly, in their digits, in their last digits
+or in the name before an '@', share a skip potential with the next such token, however far. Loopy
+sum-product messages over both kinds of edges carry evidence across a document; tokens of base spans
+are fixed to their kind, so a number or name that is certain in one place is found in others.
 
-Base spans always stay. The field adds runs of tokens of one label that touch no base span.
+Potentials are trained piecewise on a bounded sample of documents: the token part by multinomial
+regression, the edge parts each on its two ends.  Labels come from the base patterns, and from
+variants of the spans they find that are written into the sampled texts at other places: spaced or cut
+addresses, numbers with other marks, without their '+' or their area, with a mistyped digit. Tokens
+that only resemble a kind (a long number whose checksum fails, an '@' without a domain) or repeat a
+token of a span teach nothing, so the field, not the pattern, decides them.
+
+Base spans always stay. The field adds runs of tokens of one label; a run ends where a base span begins.
 
 Defined cases: a null or empty text has no spans; without any token to learn from only base spans are
-found; rows that repeat a key are each searched; an empty table gives no rows; other columns are not
-read by ``find`` and are kept by ``redact``.
+found; rows that repeat a key are each searched; texts and tokens of any length are read whole; an empty
+table gives no rows; other columns are not read by ``find`` and are kept by ``redact``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,12 +41,15 @@ from tessera.llm.common import sliced, texts
 KINDS = ("email", "ip", "card", "phone")
 #: Label 0 is outside; label k + 1 is kind k.
 N_LABELS = len(KINDS) + 1
-#: At most this many documents, and tokens of each, are learned from.
+#: At most this many documents, and a run of this many variables of each, are learned from.
 SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 600, 400
 #: Hash buckets of token features; features of a token.
 BUCKETS, N_FEATURES = 1 << 12, 10
 #: Message rounds, damping, and the marginal from which a token counts.
 ROUNDS, DAMPING, CERTAIN = 12, 0.3, 0.9
+#: How far the other labels of a token of a base span lie below its own, as log potentials.
+GIVEN = 30.0
+_EDGE = ".,;:!?|$%&*#\"'[]{}<>"
 
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 _told = re.compile(r"[0-9@]")
@@ -116,7 +127,7 @@ class Tokens:
 def _shape(token: str) -> str:
     """The token's classes with runs shortened."""
     out: list[str] = []
-    for c in token[:64]:
+    for c in token:
         k = "0" if "0" <= c <= "9" else "a" if c.islower() else "A" if c.isupper() else c
         if len(out) < 2 or out[-1] != k or out[-2] != k:
             out.append(k)
@@ -127,44 +138,50 @@ def _features(token: str, before: str, after: str) -> list[int]:
     digits = len(_not_digit.sub("", token))
     named = (
         f"shape {_shape(token)}", f"digits {min(digits, 20)}", f"length {min(len(token), 24)}", f"head {token[:1] if not token[:1].isalnum() else _shape(token[:1])}",
-        f"at {'@' in token} dots {min(token.count('.'), 4)}", f"before {_shape(before)[:6]}", f"after {_shape(after)[:6]}", f"word before {before.lower()[:12]}",
+        f"at {'@' in token} dots {min(token.count('.'), 4)}", f"before {_shape(before)}", f"after {_shape(after)}", f"word before {before.lower()}",
         f"marks {''.join(sorted(set(token) & set('+().-@')))}", "any",
     )
-    return [zlib.crc32(x.encode()) % BUCKETS for x in named]
+    return [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in named]
 
 
 def _keys(token: str) -> list[str]:
     """What a later token can repeat of this one."""
-    core = token.strip(".,;:!?|$%&*#\"'()[]{}<>").lower()
+    core = token.strip(_EDGE + "()").lower()
     digits = _not_digit.sub("", core)
     keys = {core} if len(core) >= 4 else set()
     if len(digits) >= 7:
-        keys.add("#" + digits)
+        keys |= {"#" + digits, "#" + digits[-7:]}
     if "@" in core and len(name := core.split("@")[0]) >= 4:
         keys.add(name)
     return sorted(keys)
 
 
-def tokens_of(some: list[str], most: int | None = None) -> Tokens:
-    """The variables of the texts and their edges; only texts that hold a digit or '@' have any."""
+def _variables(text: str) -> Iterator[tuple[int, int, int, str, str, str]]:
+    """(number, start, end, word, word before, word after) of the words that are variables."""
+    none = (0, 0, "")
+    back, now, number = none, none, -1
+    for m in itertools.chain(_word.finditer(text), [None]):
+        ahead = (m.start(), m.end(), m[0]) if m else none
+        word = now[2]
+        if word and (word[0] == "+" or _told.search(word) or ahead[2][:1] == "@" or back[2][-1:] == "@"):
+            yield number, now[0], now[1], word, back[2], ahead[2]
+        back, now, number = now, ahead, number + 1
+
+
+def tokens_of(some: list[str]) -> Tokens:
+    """The variables of the texts and their edges; only texts that hold a digit, '@' or '+' have any."""
     doc, start, end, features, chain, skip = [], [], [], [], [], []
     for d, text in enumerate(some):
         if not _told.search(text):
             continue
         last_of: dict[str, int] = {}
-        words = list(_word.finditer(text))
-        previous, n = -2, 0
-        for i, m in enumerate(words):
-            token = m[0]
-            if not (token[0] == "+" or _told.search(token)):
-                continue
-            if most is not None and n == most:
-                break
-            node, n = len(doc), n + 1
+        previous = -2
+        for i, s, e, token, before, after in _variables(text):
+            node = len(doc)
             doc.append(d)
-            start.append(m.start())
-            end.append(m.end())
-            features.append(_features(token, words[i - 1][0] if i else "", words[i + 1][0] if i + 1 < len(words) else ""))
+            start.append(s)
+            end.append(e)
+            features.append(_features(token, before, after))
             beside = previous == i - 1
             if beside:
                 chain.append((node - 1, node))
@@ -177,16 +194,74 @@ def tokens_of(some: list[str], most: int | None = None) -> Tokens:
     return Tokens(np.array(doc, np.int64), np.array(start, np.int64), np.array(end, np.int64), np.array(features, np.int64).reshape(-1, N_FEATURES), *pairs)
 
 
-def _silver(tokens: Tokens, some: list[str]) -> np.ndarray:
-    """Labels of the tokens by the base spans that they touch."""
+def _marked(tokens: Tokens, spans: list[list[Span]]) -> np.ndarray:
+    """Labels of the tokens by the spans that they touch, 0 for others."""
     labels = np.zeros(len(tokens.doc), np.int64)
-    for d in np.unique(tokens.doc).tolist():
-        own = np.flatnonzero(tokens.doc == d)
-        for s, k, e in base_spans(some[d]):
-            labels[own[(tokens.start[own] < e) & (tokens.end[own] > s)]] = k + 1
+    first = np.searchsorted(tokens.doc, np.arange(len(spans) + 1))
+    for d, of in enumerate(spans):
+        own = slice(first[d], first[d + 1])
+        for s, k, e in of:  # starts and ends ascend
+            labels[own][np.searchsorted(tokens.end[own], s, side="right") : np.searchsorted(tokens.start[own], e)] = k + 1
     return labels
 
 
+def variants(kind: int, span: str, draw: random.Random) -> str:
+    """The span in a form that the base patterns do not take, or take in part."""
+    digits = _not_digit.sub("", span)
+    if kind == 0:
+        name, domain = span.split("@", 1)
+        return draw.choice([f"{name} @ {domain}", f"{name} @{domain}", f"{name}@ {domain}", f"{name}@{domain.split('.')[0]}"])
+    if kind == 1:
+        return draw.choice([",", "-", ":", " . "]).join(span.split("."))
+    if kind == 2:
+        at = draw.randrange(len(digits))
+        typo = digits[:at] + str((int(digits[at]) + 1 + draw.randrange(8)) % 10) + digits[at + 1 :]
+        fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return draw.choice([typo, typo, ".".join(fours), "/".join(fours), "_".join(fours)])
+    last, area = f"{digits[-7:-4]}-{digits[-4:]}", digits[-10:-7]
+    return draw.choice([f"{digits[:-10]} ({area}) {last}", f"({area}) {last}", f"{area}-{last}", f"{area}.{last}", last])
+
+
+_dubious = re.compile(r"@|^\+|^[0-9](?:[ ._/-]?[0-9]){11,18}$|^[0-9]+(?:\.[0-9]+){3}$")
+
+
+def example(text: str, draw: random.Random) -> tuple[Tokens, np.ndarray]:
+    """Tokens of the text with a variant of each of its base spans written in elsewhere, and their labels.
+
+    Label -1 teaches nothing: what only resembles a kind, or repeats what a span covers.
+    """
+    gaps = [m.end() for m in _word.finditer(text)]
+    base = base_spans(text)
+    free = [g for g in gaps if not any(s <= g < e for s, _, e in base)] or [len(text)]
+    new = sorted((draw.choice(free), k, variants(k, text[s:e], draw)) for s, k, e in base)
+    out, spans, at, shift = [], [], 0, 0
+    moved = iter(sorted(base))
+    ahead = next(moved, None)
+    for place, k, form in [*new, (len(text) + 1, 0, "")]:
+        while ahead is not None and ahead[0] < place:
+            spans.append((ahead[0] + shift, ahead[1], ahead[2] + shift))
+            ahead = next(moved, None)
+        if place <= len(text):
+            out += [text[at:place], f" {form} "]
+            spans.append((place + shift + 1, k, place + shift + 1 + len(form)))
+            at, shift = place, shift + len(form) + 2
+    out.append(text[at:])
+    whole = "".join(out)
+    tokens = tokens_of([whole])
+    labels = _marked(tokens, [sorted(spans)])
+    told = {x for a, b in tokens.skip.tolist() if labels[a] or labels[b] for x in (a, b)}
+    for i in np.flatnonzero(labels == 0).tolist():
+        if i in told or _dubious.search(whole[tokens.start[i] : tokens.end[i]].strip(_EDGE)):
+            labels[i] = -1
+    return tokens, labels
+
+
+def _some(tokens: Tokens, labels: np.ndarray, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, features, chain, skip) of a run of variables; edges that leave it are left out."""
+    edges = [p[((p >= start) & (p < start + n)).all(1)] - start for p in (tokens.chain, tokens.skip)]
+    return labels[start : start + n], tokens.features[start : start + n], *edges
+
+
 @dataclass
 class Field:
     """Log potentials: of features by label, of chain edges, of skip edges."""
@@ -196,19 +271,48 @@ class Field:
     skip: np.ndarray
 
 
-def _cooccurrence(pairs: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Smoothed log ratio of joint to independent label frequencies on the two ends of edges."""
-    joint = prior.copy()
-    for a, b in pairs:
-        joint[a, b] += 1
-        joint[b, a] += 1
-    joint /= joint.sum()
-    ends = joint.sum(0)
-    return np.log(joint / (ends[:, None] * ends[None, :]))
+def _token_weights(x: np.ndarray, y: np.ndarray, rounds: int) -> np.ndarray:
+    """Multinomial regression of labels on hashed features, by Adam over all of them."""
+    w, m, v = (np.zeros((BUCKETS, N_LABELS)) for _ in range(3))
+    flat, truth = x.ravel(), np.eye(N_LABELS)[y]
+    for t in range(1, rounds + 1):
+        z = w[x].sum(1)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        error = np.repeat((p - truth) / len(y), N_FEATURES, axis=0)
+        grad = np.stack([np.bincount(flat, error[:, k], BUCKETS) for k in range(N_LABELS)], 1) + 1e-5 * w
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w
+
+
+def _edge_weights(unary: np.ndarray, labels: np.ndarray, pairs: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Symmetric potentials that, added to the token parts of an edge's ends, explain their labels best.
+
+    Each edge is a piece of its own; a small penalty draws potentials to 0.
+    """
+    out = np.zeros((N_LABELS, N_LABELS))
+    pairs = pairs[(labels[pairs] >= 0).all(1)]
+    if not len(pairs):
+        return out
+    ends = unary[pairs[:, 0]][:, :, None] + unary[pairs[:, 1]][:, None, :]
+    seen = np.zeros_like(out)
+    np.add.at(seen, (labels[pairs[:, 0]], labels[pairs[:, 1]]), 1.0)
+    for _ in range(rounds):
+        z = ends + out
+        p = np.exp(z - z.max((1, 2), keepdims=True))
+        p /= p.sum((1, 2), keepdims=True)
+        grad = seen - p.sum(0)
+        out += 2.0 * ((grad + grad.T) / 2 - 0.5 * out) / len(pairs)
+    return out
 
 
 def fit(docs: DataFrame, rounds: int = 150) -> Field | None:
-    """Train on a bounded sample of documents, taken in the order of a hash of their keys."""
+    """Train on a bounded sample of documents, taken in the order of a hash of their keys.
+
+    Of a document with more than ``SAMPLE_TOKENS`` variables a run of so many is taken, from a place that
+    a hash of the key draws.
+    """
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     order = F.xxhash64("doc_id", F.lit(5))
     ids = told.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(SAMPLE_DOCUMENTS)
@@ -218,36 +322,50 @@ def fit(docs: DataFrame, rounds: int = 150) -> Field | None:
             some, keys = texts(batch.column("text")), batch.column("doc_id").to_pylist()
             rows = []
             for key, text in zip(keys, some, strict=True):
-                t = tokens_of([text], SAMPLE_TOKENS)
-                rows.append({"doc_id": key, "labels": _silver(t, [text]).tolist(), "features": t.features.ravel().tolist(), "chain": t.chain.ravel().tolist(), "skip": t.skip.ravel().tolist()})
+                draw = random.Random(key)
+                tokens, labels = example(text, draw)
+                parts = _some(tokens, labels, draw.randrange(max(1, len(labels) - SAMPLE_TOKENS + 1)), SAMPLE_TOKENS)
+                rows.append({"doc_id": key} | {n: p.ravel().tolist() for n, p in zip(("labels", "features", "chain", "skip"), parts, strict=True)})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), *[(n, pa.list_(pa.int64())) for n in ("labels", "features", "chain", "skip")]]))
 
     kind = "doc_id long, labels array<long>, features array<long>, chain array<long>, skip array<long>"
     rows = sorted(told.join(F.broadcast(ids), "doc_id").mapInArrow(examples, kind).collect(), key=lambda r: (r.doc_id, r.labels))[:SAMPLE_DOCUMENTS]
-    y = np.array([x for r in rows for x in r.labels], np.int64)
-    if not len(y):
-        return None
-    x = np.concatenate([np.array(r.features, np.int64).reshape(-1, N_FEATURES) for r in rows])
-    w, m, v = (np.zeros((BUCKETS, N_LABELS)) for _ in range(3))
-    flat, truth = x.ravel(), np.eye(N_LABELS)[y]
-    for t in range(1, rounds + 1):
-        z = w[x].sum(1)
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        error = np.repeat((p - truth) / len(y), N_FEATURES, axis=0)
-        grad = np.stack([np.bincount(flat, error[:, k], BUCKETS) for k in range(N_LABELS)], 1) + 1e-5 * w
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    pairs = {}
-    for name in ("chain", "skip"):
-        pairs[name] = [(r.labels[a], r.labels[b]) for r in rows for a, b in np.array(r[name], np.int64).reshape(-1, 2).tolist()]
-    same = np.eye(N_LABELS)
-    return Field(w, _cooccurrence(pairs["chain"], np.full((N_LABELS, N_LABELS), 1.0) + same), _cooccurrence(pairs["skip"], np.full((N_LABELS, N_LABELS), 0.5) + 4 * same))
+    return trained([tuple(np.array(x, np.int64) for x in (r.labels, r.features, r.chain, r.skip)) for r in rows], rounds)
+
 
+def trained(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], rounds: int = 150) -> Field | None:
+    """The field from (labels, features, chain, skip) of each document.
 
-def marginals(tokens: Tokens, field: Field, rounds: int = ROUNDS) -> np.ndarray:
-    """Label marginals of all tokens by damped loopy sum-product over chain and skip edges."""
+    Edges are trained on token parts that the other half of the documents gave, as what the field knows
+    of unseen tokens.
+    """
+    labels = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
+    known = labels >= 0
+    if not known.any():
+        return None
+    x = np.concatenate([r[1].reshape(-1, N_FEATURES) for r in rows])
+    sizes = np.array([len(r[0]) for r in rows])
+    half = np.repeat(np.arange(len(rows)) % 2, sizes)
+    unary = np.zeros((len(labels), N_LABELS))
+    for k in (0, 1):
+        of, other = known & (half == k), half != k
+        if of.any():
+            unary[other] = _token_weights(x[of], labels[of], rounds)[x[other]].sum(1)
+    first = np.cumsum(sizes) - sizes
+    chain, skip = (np.concatenate([r[at].reshape(-1, 2) + f for r, f in zip(rows, first.tolist(), strict=True)]) for at in (2, 3))
+    return Field(_token_weights(x[known], labels[known], rounds), _edge_weights(unary, labels, chain), _edge_weights(unary, labels, skip))
+
+
+def marginals(tokens: Tokens, field: Field, given: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
+    """Label marginals of all tokens by damped loopy sum-product over chain and skip edges.
+
+    ``given``: labels that are known, 0 where they are not.
+    """
     unary = field.weights[tokens.features].sum(1)
+    if given is not None:
+        known = np.flatnonzero(given)
+        unary[known] = -GIVEN
+        unary[known, given[known]] = 0
     edges = np.concatenate([tokens.chain, tokens.skip])
     if len(edges):
         potential = np.concatenate([np.broadcast_to(field.chain, (len(tokens.chain), N_LABELS, N_LABELS)), np.broadcast_to(field.skip, (len(tokens.skip), N_LABELS, N_LABELS))])
@@ -268,17 +386,15 @@ def marginals(tokens: Tokens, field: Field, rounds: int = ROUNDS) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-_EDGE = ".,;:!?|$%&*#\"'[]{}<>"
-
-
 def all_spans(some: list[str], field: Field | None) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) for t in some]
     added: list[list[Span]] = [[] for _ in some]
     tokens = tokens_of(some) if field else None
     if tokens is not None and len(tokens.doc):
-        p = marginals(tokens, field)
-        label = np.where(p[:, 0] <= 1 - CERTAIN, 1 + p[:, 1:].argmax(1), 0)
+        given = _marked(tokens, base)
+        p = marginals(tokens, field, given)
+        label = np.where((p[:, 0] <= 1 - CERTAIN) & (given == 0), 1 + p[:, 1:].argmax(1), 0)
         linked = set(map(tuple, tokens.chain.tolist()))
         run: list[int] = []
         for i in [*np.flatnonzero(label).tolist(), None]:
@@ -289,7 +405,7 @@ def all_spans(some: list[str], field: Field | None) -> list[tuple[list[Span], li
                     s += 1
                 while e > s and text[e - 1] in _EDGE:
                     e -= 1
-                if s < e and not any(a < e and b > s for a, _, b in base[d]):
+                if s < e:
                     added[d].append((s, int(label[run[0]]) - 1, e))
                 run = []
             if i is not None:
