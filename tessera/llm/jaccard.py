@@ -48,6 +48,7 @@ LEADERS = 3
 #: Rows of one word in a slice of a task that make the word hot there, lots that its further rows are dealt
 #: over, and the members that a hot word counts for.
 HOT_ROWS, LOTS, HOT = 8, 1 << 16, 1 << 40
+HOT_MARK = 1 << 40
 SKETCH_WORDS = 8
 _LOW = np.uint64((1 << 52) - 1)
 
@@ -188,12 +189,12 @@ def _lots(keys: np.ndarray, nodes: np.ndarray, hot: np.ndarray, most: int) -> tu
 
 
 def word_table(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(key, node, mark, lot) of all sets; a task enters equal sets once.
+    """(key, node, mark, part) of all sets; a task enters equal sets once.
 
-    Rows of one key and lot 0 or -1 belong together; a key has at most ``hot_rows`` rows for each slice of a
+    Rows of one key and part 0 belong together, with ``HOT_MARK`` set in the mark where the key is hot; a key has at most ``hot_rows`` rows for each slice of a
     task until it is found hot there, its further rows are dealt over lots.
     """
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("mark", pa.int32()), ("lot", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("mark", pa.int64()), ("part", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -211,9 +212,9 @@ def word_table(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             lots, hot = _lots(keys, node[who], hot, hot_rows)
             for i in range(0, len(keys), 100_000):
                 s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([_signed(keys[s]), _signed(node[who[s]]), pa.array(bands[s].astype(np.int32)), pa.array(lots[s])], schema=schema)
+                yield pa.RecordBatch.from_arrays([_signed(keys[s]), _signed(node[who[s]]), pa.array(bands[s] | np.where(lots[s] < 0, HOT_MARK, 0)), pa.array(np.maximum(lots[s], 0))], schema=schema)
 
-    return docs.mapInArrow(rows, "key long, node long, mark int, lot int")
+    return docs.mapInArrow(rows, "key long, node long, mark long, part int")
 
 
 def token_table(chosen: DataFrame) -> DataFrame:
@@ -262,11 +263,13 @@ class Join:
 
     def groups(self) -> DataFrame:
         """(key, node, of): the words that nodes share and need to meet every partner."""
-        words = word_table(self.docs.where("doc_id is not null"), self.hot_rows).withColumn("part", F.greatest("lot", F.lit(0)))
+        words = word_table(self.docs.where("doc_id is not null"), self.hot_rows)
         by_key = Window.partitionBy("key", "part")
-        members = F.when(F.min("lot").over(by_key) < 0, HOT).when(F.col("lot") > 0, HOT).otherwise(F.count(F.lit(1)).over(by_key))
-        met = words.select("key", "part", "node", "mark", "lot", members.alias("members"), F.min("node").over(by_key).alias("low"), F.max("node").over(by_key).alias("high"))
-        shared = met.where("lot > 0 or low < high").select("key", "part", "node", "mark", "members").distinct().select("key", "node", "mark", "members")
+        hot = (F.col("part") > 0) | (F.max("mark").over(by_key) >= HOT_MARK)
+        members = F.when(hot, HOT).otherwise(F.count(F.lit(1)).over(by_key))
+        met = words.select("key", "part", "node", "mark", members.alias("members"), F.min("node").over(by_key).alias("low"), F.max("node").over(by_key).alias("high"))
+        mark = F.col("mark").bitwiseAND(HOT_MARK - 1).alias("mark")
+        shared = met.where("part > 0 or low < high").select("key", "part", "node", mark, "members").distinct().select("key", "node", "mark", "members")
         own = Window.partitionBy("node", "mark")
         need = F.floor(F.col("mark") / 256)
         ranked = shared.repartition("node").select("*", F.count(F.lit(1)).over(own).alias("shared"), F.row_number().over(own.orderBy("members", "key")).alias("place"))
@@ -286,7 +289,8 @@ class Join:
 
     def _tokens(self, groups: DataFrame) -> DataFrame:
         """The token sets of all grouped nodes, made again from one text of each."""
-        reps = groups.groupBy("node").agg(F.min("of.rep").alias("doc_id"))
+        # written first, so that its size is known and a small one is sent to the texts
+        reps = self.scratch.keep(groups.groupBy("node").agg(F.min("of.rep").alias("doc_id")), "reps")
         return token_table(self.docs.join(reps, "doc_id"))
 
     @staticmethod
@@ -320,6 +324,7 @@ class Join:
         groups = scratch.keep(self.groups(), "groups")
         scratch.release()
         first = scratch.keep(self._nearest_leaders(groups), "leaders")
+        scratch.release()
         tokens = scratch.keep(self._tokens(groups), "tokens")
         scratch.release()
         found = components(self._links(first, tokens).union(self._repeated()), scratch, self.edges_per_task)
