@@ -21,68 +21,95 @@ from tessera.sources.csv import write_csv
 from tessera.sources.parquet import dense_row_ids
 
 
-def timed(phase: str, df: DataFrame | Callable[[], object]) -> None:
-    """Run ``df`` to its end (or call it) and print the seconds."""
-    start = time.perf_counter()
+#: (phase, rows) of each timed phase.
+Results = list[tuple[str, int]]
+
+
+def timed(phase: str, df: DataFrame | Callable[[], int], results: Results | None = None) -> None:
+    """Run ``df`` to its end (or call it) and print the seconds; with ``results`` its rows are noted too.
+
+    A function returns its number of rows.
+    """
+    start, rows = time.perf_counter(), 0
     if isinstance(df, DataFrame):
         df.write.format("noop").mode("overwrite").save()
     else:
-        df()
+        rows = df()
     print(f"{phase} time: {time.perf_counter() - start:.6f}s", file=sys.stderr)
+    if results is not None:
+        results.append((phase, df.count() if isinstance(df, DataFrame) else rows))
 
 
-def tables(spark: SparkSession, scale: float, output: str | None, values: int = 0, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def tables(spark: SparkSession, scale: float, output: str | None, values: int = 0, seed: int = 1, results: Results | None = None) -> tuple[DataFrame, DataFrame]:
     """R and S with row ids; written as CSV under ``output`` if it is given."""
     r, s = (dense_row_ids(t) for t in generate.workload(spark, scale, values, seed))
-    timed("Generate data", lambda: (r.count(), s.count()))
+    timed("Generate data", lambda: r.count() + s.count(), results)
     if output:
         for name, table in (("r_table", r), ("s_table", s)):
             write_csv(table, f"{output}/{name}.csv", range(1 + values), "row_index")
     return r, s
 
 
-def run_join(r: DataFrame, s: DataFrame, phase: str) -> None:
+def run_join(r: DataFrame, s: DataFrame, phase: str, results: Results | None = None) -> None:
     keys = join.materialize(r, "c0"), join.materialize(s, "c0")
     sides = join.materialize_sides(*keys, r.count(), s.count())
     for side in sides:
         if phase in ("join_hash", "materialize_input"):
-            timed("materialize_input", side)
+            timed("materialize_input", side, results)
         if phase in ("join_hash", "partition_by_radix"):
-            timed("partition_by_radix", join.radix_partition(side, 1))
+            timed("partition_by_radix", join.radix_partition(side, 1), results)
     if phase in ("join_hash", "all_in_one"):
-        timed("join_hash", join.join_inner(r.drop("row_index"), s.drop("row_index").withColumnRenamed("c0", "s0"), "c0", "s0"))
+        timed("join_hash", join.join_inner(r.drop("row_index"), s.drop("row_index").withColumnRenamed("c0", "s0").withColumnRenamed("c1", "s1"), "c0", "s0"), results)
 
 
-def run_aggregate(s: DataFrame, phase: str) -> None:
+def run_aggregate(s: DataFrame, phase: str, results: Results | None = None) -> None:
     if phase != "aggregate_segment":
-        timed("partition_by_groupby_keys", aggregate.dense_keys(s, "c0"))
+        timed("partition_by_groupby_keys", aggregate.dense_keys(s, "c0"), results)
     if phase != "partition_by_groupby_keys":
-        timed(phase, aggregate.aggregate(s, ["c0"], [("sum", "c1", "sum_c1"), ("count", "c1", "n")]))
+        timed(phase, aggregate.aggregate(s, ["c0"], [("sum", "c1", "sum_c1"), ("count", "c1", "n")]), results)
+
+
+def inserted(table: Table, source: DataFrame) -> int:
+    table.insert(source)
+    return table.physical_rows()
+
+
+def deleted(table: Table, row_ids: DataFrame) -> int:
+    table.delete(row_ids)
+    return table.snapshot().count()
+
+
+def updated(table: Table, values: DataFrame, row_ids: DataFrame) -> int:
+    table.update(values, row_ids)
+    return table.physical_rows()
+
+
+OPERATIONS = ("join_hash", "materialize_input", "partition_by_radix", "insert", "delete", "update", "aggregate_hash", "partition_by_groupby_keys", "aggregate_segment", "all_in_one")
 
 
-def run(spark: SparkSession, operation: str, scale: float, output: str | None) -> None:
+def run(spark: SparkSession, operation: str, scale: float, output: str | None, results: Results | None = None) -> None:
+    """One operation over the generated tables; rows are physical ones after inserts and updates, visible ones after deletes."""
     if operation in ("join_hash", "materialize_input", "partition_by_radix"):
-        run_join(*tables(spark, scale, output), operation)
+        run_join(*tables(spark, scale, output, results=results), operation, results)
     elif operation == "insert":
-        sources = tables(spark, scale, output)
-        for source in sources:
-            timed("insert", lambda source=source: Table(source.limit(0)).insert(source))
+        for source in tables(spark, scale, output, results=results):
+            timed("insert", lambda source=source: inserted(Table(source.limit(0)), source), results)
     elif operation == "delete":
-        for source in tables(spark, scale, output):
-            timed("delete", lambda source=source: Table(source).delete(source.select("row_index")))
+        for source in tables(spark, scale, output, results=results):
+            timed("delete", lambda source=source: deleted(Table(source), source.select("row_index")), results)
     elif operation == "update":
-        for old, new in zip(tables(spark, scale, output), tables(spark, scale, None, seed=7), strict=True):
-            timed("update", lambda old=old, new=new: Table(old).update(new, old.select("row_index")))
+        for old, new in zip(tables(spark, scale, output, results=results), tables(spark, scale, None, seed=7), strict=True):
+            timed("update", lambda old=old, new=new: updated(Table(old), new, old.select("row_index")), results)
     elif operation in ("aggregate_hash", "partition_by_groupby_keys", "aggregate_segment"):
-        run_aggregate(tables(spark, scale, output, 1)[1], operation)
+        run_aggregate(tables(spark, scale, output, 1, results=results)[1], operation, results)
     elif operation == "all_in_one":
-        r, s = tables(spark, scale, output, 1)
-        run_join(r, s, operation)
-        run_aggregate(s, "aggregate_hash")
+        r, s = tables(spark, scale, output, 1, results=results)
+        run_join(r, s, operation, results)
+        run_aggregate(s, "aggregate_hash", results)
         table = Table(s)
-        timed("update", lambda: table.update(s, s.select("row_index")))
-        timed("delete", lambda: Table(s).delete(s.select("row_index")))
-        timed("insert", lambda: table.insert(s))
+        timed("update", lambda: updated(table, s, s.select("row_index")), results)
+        timed("delete", lambda: deleted(Table(s), s.select("row_index")), results)
+        timed("insert", lambda: inserted(table, s), results)
         print(f"rows: {table.physical_rows()} physical, {table.snapshot().count()} visible", file=sys.stderr)
     else:
         raise ValueError(f"unknown operation: {operation}")

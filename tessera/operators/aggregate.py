@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,17 @@ from tessera.functions.keys import require_integral, sparse_group_key
 DENSE_FACTOR = 1.2
 
 #: Aggregates by name; a sum of no non-null value is NULL, counts are of non-null values.
-AGGREGATES = {"sum": F.sum, "count": F.count, "count_distinct": F.countDistinct, "min": F.min, "max": F.max, "avg": F.avg}
+AGGREGATES: dict[str, Callable[[str], Column]] = {"sum": F.sum, "count": F.count, "count_distinct": F.countDistinct, "min": F.min, "max": F.max, "avg": F.avg}
+
+
+def register(name: str, function: Callable[[str], Column]) -> None:
+    """Add an aggregate: ``function`` maps a column's name to an aggregate expression of Spark.
+
+    Spark keeps its state and merges partial states; built-in names cannot be replaced by other functions.
+    """
+    if AGGREGATES.get(name, function) is not function:
+        raise ValueError(f"the aggregate {name} is there already")
+    AGGREGATES[name] = function
 
 
 def aggregate(table: DataFrame, group_by: Sequence[str], aggregates: Sequence[tuple[str, str, str]], first_row: str | None = None) -> DataFrame:

@@ -17,6 +17,10 @@ class View:
     source: DataFrame
     row_ids: DataFrame
 
+    def column_ids(self, *columns: str) -> dict[str, int]:
+        """The position of each column (of all of them by default) in the source."""
+        return {c: self.source.columns.index(c) for c in columns or self.source.columns}
+
     def read(self, *columns: str) -> DataFrame:
         """The viewed rows; a row id that is listed twice gives its row twice."""
         wanted = ["row_index", *columns] if columns else self.source.columns

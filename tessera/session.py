@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +24,19 @@ def local_session(app: str = "tessera", cores: str | int | None = None, **conf:
     session = builder.config(map=base | conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine gets a temporary folder; on a cluster that raises, as
+    executors would not see it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")

@@ -22,8 +22,12 @@ def project(df: DataFrame, ordinals: Sequence[int]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, ordinals: Sequence[int], order_by: str | None = None) -> None:
-    """Write under ``path``, replacing what is there; one sorted file if ``order_by`` is given."""
-    rows = project(df.orderBy(order_by).coalesce(1) if order_by else df, ordinals)
+    """Write under ``path``, replacing what is there.
+
+    With ``order_by`` the rows are sorted over all files: files in order of their names hold ranges in
+    order, so their contents put one after the other are the sorted table, and no task writes it alone.
+    """
+    rows = project(df.orderBy(order_by) if order_by else df, ordinals)
     fields = [F.when(F.col(f.name).isNotNull(), F.format_string("%.6f", F.col(f.name))) if isinstance(f.dataType, T.FloatType | T.DoubleType) else F.col(f.name).cast("string") for f in rows.schema]
     rows.select(F.concat_ws(",", *[F.coalesce(x, F.lit("")) for x in fields]).alias("value")).write.mode("overwrite").text(path)
 

@@ -1,6 +1,7 @@
 """Seeded workload tables: a serial key column, random int, float and string columns.
 
-Values depend on seed, column and row id only, so they are the same for any number of partitions.
+Values depend on seed, column and row id only, so they are the same for any number of partitions, and
+any system with md5 can make them again.
 """
 
 from __future__ import annotations
@@ -47,9 +48,14 @@ def empty_table(spark: SparkSession, columns: Sequence[ColumnDef]) -> DataFrame:
     return spark.createDataFrame([], table_schema(columns))
 
 
-def _random_int(seed: Column, row: Column, low: int, high: int) -> Column:
+def _hashed(*parts: Column) -> Column:
+    """A number below 2^48 from the first 12 digits of the md5 of the parts joined with '|'."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("long")
+
+
+def _random_int(low: int, high: int, *parts: Column) -> Column:
     """Uniform over low..high, both included."""
-    return (F.pmod(F.xxhash64(seed, row), F.lit(high - low + 1)) + low).cast("int")
+    return (F.pmod(_hashed(*parts), F.lit(high - low + 1)) + low).cast("int")
 
 
 def _column(definition: ColumnDef, seed: int, number: int) -> Column:
@@ -57,12 +63,12 @@ def _column(definition: ColumnDef, seed: int, number: int) -> Column:
     if definition.serial:
         return (row + 1).cast("int")
     if definition.kind == "int":
-        return _random_int(own, row, int(definition.lower), int(definition.upper))
+        return _random_int(int(definition.lower), int(definition.upper), own, row)
     if definition.kind == "float":
-        unit = F.shiftrightunsigned(F.xxhash64(own, row), 11) / float(1 << 53)
+        unit = _hashed(own, row).cast("double") / float(1 << 48)
         return (unit * (definition.upper - definition.lower) + definition.lower).cast("float")
-    length = _random_int(own, row, *STRING_LENGTHS)
-    letters = F.transform(F.sequence(F.lit(1), length), lambda i: F.char(65 + F.pmod(F.xxhash64(own, row, i), F.lit(26))))
+    length = _random_int(*STRING_LENGTHS, own, row)
+    letters = F.transform(F.sequence(F.lit(1), length), lambda i: F.char(65 + F.pmod(_hashed(own, row, i), F.lit(26))))
     return F.concat_ws("", letters)
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import aggregate
 
@@ -43,3 +44,14 @@ def test_dense_keys_of_nothing_and_of_nulls(spark):
     assert aggregate.dense_keys(table(spark, []), "k").count() == 0
     row = aggregate.dense_keys(table(spark, [(None, 0)]), "k").first()
     assert (row.group_key, row.is_dense) == (0, False)
+
+
+def test_registered_aggregates(spark):
+    rows = spark.createDataFrame([(1, 2), (1, 3), (2, None)], "k int, v int")
+    spread = lambda c: F.max(c) - F.min(c)
+    aggregate.register("spread", spread)
+    aggregate.register("spread", spread)
+    assert sorted(map(tuple, aggregate.aggregate(rows, ["k"], [("spread", "v", "d")]).collect())) == [(1, 1), (2, None)]
+    with pytest.raises(ValueError, match="there already"):
+        aggregate.register("sum", spread)
+    del aggregate.AGGREGATES["spread"]

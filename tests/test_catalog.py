@@ -31,11 +31,15 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_lock_state_covers_every_row_of_the_table(spark, duck):
-    got = catalog.queries()["delete_lock_state_all"](spark, SF).toPandas()
+    got = catalog.queries()["delete_lock_state"](spark, SF).toPandas()
     assert len(got) == duck.execute("select count(*) from lineitem").fetchone()[0] == got.row_index.nunique()
     assert 0 < got.locked.sum() < len(got)
 
 
+def test_every_query_has_sql():
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
+
+
 def test_entry_module_lists_what_it_can_run():
     import __spark_entry__ as entry
 

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,7 +43,17 @@ def test_row_ids_run_on_over_files(spark, tmp_path):
 def test_csv_has_six_decimals_and_repeated_columns(spark, tmp_path):
     t = spark.createDataFrame([(2, 1.5, "b"), (1, None, "a")], "k int, v double, s string")
     csv.write_csv(t, f"{tmp_path}/o.csv", [0, 1, 2, 2], order_by="k")
-    assert [r.value for r in spark.read.text(f"{tmp_path}/o.csv").collect()] == ["1,,a,a", "2,1.500000,b,b"]
+    files = sorted(f for f in os.listdir(f"{tmp_path}/o.csv") if f.startswith("part-"))
+    assert "".join(open(f"{tmp_path}/o.csv/{f}").read() for f in files) == "1,,a,a\n2,1.500000,b,b\n"
+
+
+def test_sorted_csv_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    csv.write_csv(spark.range(0, 20000, 1, 3).selectExpr("20000 - id as k", "repeat('x', 400) as s"), f"{tmp_path}/o.csv", [0], order_by="k")
+    files = sorted(f for f in os.listdir(f"{tmp_path}/o.csv") if f.startswith("part-"))
+    assert "".join(open(f"{tmp_path}/o.csv/{f}").read() for f in files).split() == [str(i) for i in range(1, 20001)]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 1
 
 
 def test_command_line_runs_every_operation(spark, monkeypatch, capsys):

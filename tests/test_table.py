@@ -55,8 +55,40 @@ def test_conflicting_deletes_are_refused_whole(spark):
     first.commit()
     second.rollback()
     assert content(t.snapshot()) == [(0, 1), (2, 3)]
-    with pytest.raises(WriteConflict):
-        t.delete(some(spark, [1]))
+
+
+def test_deleting_a_row_that_is_gone_does_nothing(spark):
+    t = Table(frame(spark, [1, 2, 3]))
+    assert t.delete(some(spark, [1])) == 1 and t.delete(some(spark, [1, 2])) == 2
+    assert content(t.snapshot()) == [(0, 1)] and content(t.snapshot(1)) == [(0, 1), (2, 3)]
+    ends = {r.row_index: r._end_cid for r in t.versions().collect()}
+    assert ends[1] == 1 and ends[2] == 2
+
+
+def test_a_commit_meanwhile_is_a_conflict(spark):
+    t = Table(frame(spark, [1, 2, 3]))
+    late = t.begin()
+    t.delete(some(spark, [1]))
+    late.delete(some(spark, [1]))
+    with pytest.raises(WriteConflict, match="another commit"):
+        late.commit()
+    assert content(t.snapshot()) == [(0, 1), (2, 3)] and not late.open
+
+
+def test_conflicts_name_the_holder(spark):
+    t = Table(frame(spark, [1, 2, 3]))
+    first, second = t.begin().delete(some(spark, [0])), t.begin().delete(some(spark, [2]))
+    third = t.begin()
+    assert sorted(map(tuple, third.conflicts(some(spark, [0, 1, 2])).collect())) == [(0, first.tid), (2, second.tid)]
+    assert t.begin().conflicts(some(spark, [1])).collect() == [] and Table(frame(spark, [1])).begin().conflicts(some(spark, [0])).count() == 0
+
+
+def test_many_deletes_are_one_anti_join(spark):
+    t = Table(frame(spark, list(range(8))))
+    for i in range(5):
+        t.delete(some(spark, [i]))
+    plan = t.snapshot()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and content(t.snapshot()) == [(5, 5), (6, 6), (7, 7)]
 
 
 def test_rollback_frees_the_rows(spark):
@@ -75,6 +107,23 @@ def test_compact_keeps_rows_ids_and_count(spark, tmp_path):
     assert content(t.snapshot())[-1] == (3, 7)
 
 
+def test_compact_twice_keeps_commits_and_gives_up_old_snapshots(spark, tmp_path):
+    t = Table(frame(spark, [1, 2, 3]))
+    t.insert(frame(spark, [4]))
+    t.delete(some(spark, [0]))
+    for _ in range(2):
+        t.compact(f"file://{tmp_path}/t")
+        assert content(t.snapshot()) == [(1, 2), (2, 3), (3, 4)]
+    assert {r.row_index: r._begin_cid for r in t.versions().collect()} == {1: 0, 2: 0, 3: 1}
+    with pytest.raises(ValueError, match="compacted"):
+        t.snapshot(0)
+    assert t.insert(frame(spark, [5])) == 3 and content(t.snapshot(2)) == [(1, 2), (2, 3), (3, 4)]
+    open_one = t.begin()
+    with pytest.raises(RuntimeError, match="open"):
+        t.compact(f"file://{tmp_path}/t")
+    open_one.rollback()
+
+
 def test_lock_state_follows_listing_parity(spark):
     assert sorted(map(tuple, lock_state(some(spark, [0, 0, 1, 2, 2, 2])).collect())) == [(0, False), (1, True), (2, True)]
 
