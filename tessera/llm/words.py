@@ -2,7 +2,8 @@
 
 A string column is one byte buffer with offsets. Words are the maximal runs of bytes other than the
 six ASCII white-space characters; a word's hash is a polynomial over its bytes modulo 2^64, taken from
-one running sum over the buffer and brought to the word's start with the inverse of the base.
+one running sum over the buffer and brought to the word's start with the inverse of the base. A buffer is
+gone through in chunks of whole words, so the arrays beside a very long text stay small.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-#: Text bytes handled at once; the arrays beside it take some sixty times as much.
-SLICE_BYTES = 600_000
+#: Odd factors of the words of a window, by their place in it.
+STEPS = mix64(np.arange(64, dtype=np.uint64), 78) | np.uint64(1)
+
+#: Text bytes of a batch (one text at least), and bytes of it gone through at once; the arrays beside such a
+#: chunk take some sixty times as much.
+SLICE_BYTES, CHUNK_BYTES = 600_000, 1 << 20
 
 
 def base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,24 +67,44 @@ class Texts:
     (byte positions in ``data``); ``begins[i]:begins[i + 1]`` are its bytes.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, chunk: int = CHUNK_BYTES):
         data, self.begins = text_buffer(column)
-        self.data = LOWER[data] if lower else data
-        n = len(self.data)
-        inside = ~SPACES[self.data]
+        self.data, self.chunk = LOWER[data] if lower else data, chunk
+        found = [self._words(a, b) for a, b in self._chunks()] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        self.starts, self.ends, self.hashes = (np.concatenate(x) if len(found) > 1 else x[0] for x in zip(*found, strict=True))
+        self.first = np.searchsorted(self.starts, self.begins)
+
+    def _chunks(self) -> Iterator[tuple[int, int]]:
+        """Bounds of about ``chunk`` bytes that cut no word."""
+        at, n = 0, len(self.data)
+        while at < n:
+            stop = at + self.chunk
+            while stop < n:  # on to the next white space or text
+                begin = self.begins[min(np.searchsorted(self.begins, stop), len(self.begins) - 1)]
+                free = np.flatnonzero(SPACES[self.data[stop : stop + self.chunk]])
+                stop = min(int(begin), stop + int(free[0])) if len(free) else min(int(begin), stop + self.chunk)
+                if len(free) or stop == begin:
+                    break
+            stop = min(stop, n)
+            yield at, stop
+            at = stop
+
+    def _words(self, at: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, hashes) of the words between two bounds."""
+        data, n = self.data[at:stop], stop - at
+        inside = ~SPACES[data]
         cut = np.zeros(n + 1, bool)
-        cut[self.begins] = True
+        cut[self.begins[slice(*np.searchsorted(self.begins, [at, stop + 1]))] - at] = True
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
-        self.starts = np.flatnonzero(inside & (~before | cut[:-1]))
+        starts = np.flatnonzero(inside & (~before | cut[:-1]))
         after = np.zeros(n, bool)
         after[:-1] = inside[1:]
-        self.ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-        self.first = np.searchsorted(self.starts, self.begins)
+        ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
         powers, inverse = base_powers(n)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[self.data] * powers, out=sums[1:])
-        self.hashes = mix64((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        np.cumsum(BYTE_VALUES[data] * powers, out=sums[1:])
+        return starts + at, ends + at, mix64((sums[ends] - sums[starts]) * inverse[starts])
 
     def __len__(self) -> int:
         return len(self.begins) - 1
@@ -97,25 +122,29 @@ class Texts:
         if n < k:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         room = np.repeat(self.first[1:], self.n_words) - np.arange(n) >= k
-        at = np.flatnonzero(room)
-        out = np.zeros(len(at), np.uint64)
-        for j in range(k):
-            out = mix64(out + self.hashes[at + j], 3)
-        return out, at
-
-    def byte_windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each run of k bytes inside a document, its first byte)."""
-        n = len(self.data)
-        if n < k:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        out = np.zeros(n - k + 1, np.uint32)
+        out = np.zeros(n - k + 1, np.uint64)
         for j in range(k):
-            out = out * np.uint32(0x01000193) + BYTE_VALUES[self.data[j : n - k + 1 + j]].astype(np.uint32)
-        out ^= out >> np.uint32(15)
-        out = out * np.uint32(0x2C1B3C6D)
-        out ^= out >> np.uint32(12)
-        room = np.repeat(self.begins[1:], np.diff(self.begins))[: n - k + 1] - np.arange(n - k + 1) >= k
-        return out[room], np.flatnonzero(room)
+            out += self.hashes[j : n - k + 1 + j] * STEPS[j]
+        return mix64(out[room[: n - k + 1]], 3), np.flatnonzero(room)
+
+    def byte_windows(self, k: int, start: int = 0, stop: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hash of each run of k bytes inside a document, its document), chunk by chunk, of documents start..stop."""
+        low, high = int(self.begins[start]), int(self.begins[-1 if stop is None else stop])
+        for at in range(low, high, self.chunk):
+            data = self.data[at : min(at + self.chunk + k - 1, high)]
+            n = len(data) - k + 1
+            if n <= 0:
+                continue
+            out = np.zeros(n, np.uint32)
+            for j in range(k):
+                out = out * np.uint32(0x01000193) + BYTE_VALUES[data[j : n + j]].astype(np.uint32)
+            out ^= out >> np.uint32(15)
+            out = out * np.uint32(0x2C1B3C6D)
+            out ^= out >> np.uint32(12)
+            place = np.arange(at, at + n)
+            doc = np.searchsorted(self.begins, place, side="right") - 1
+            room = self.begins[doc + 1] - place >= k
+            yield out[room], doc[room]
 
 
 def _give_back() -> None:
