@@ -6,8 +6,9 @@ every document back through the index and ``lookup`` fetches given keys.
 A shard is one row of the store: the raw id payload (little-endian, 16 bits wide where the vocabulary
 fits), the documents' keys in order, and the index: a level-by-level minimal perfect hash (each level
 keeps the keys that alone fall on a slot, the rest go to the next level; a key's place is the rank of
-its bit), and per place a 32-bit fingerprint, the start and the length in the payload. A probe reads a
-constant number of words on average and never searches the keys.
+its bit, from counts kept for each 512 bits), and per place a 32-bit fingerprint, the start and the length
+in the payload. A probe reads a constant number of words on average, on the packed bytes as they lie, and
+never searches the keys.
 
 Shards are rows of an uncompressed Parquet table because Spark's committed writers are the only ones
 that both survive lost executors and reach every file store the session reaches.
@@ -35,6 +36,8 @@ from tessera.llm.words import text_batches
 
 #: Slots of a level for each key that reaches it.
 GAMMA = 1.5
+#: Keys of one row of a request to a shard, by their distance.
+BLOCK_KEYS = 4096
 #: A shard is closed when its payload reaches this many bytes.
 SHARD_BYTES = 8 << 20
 
@@ -47,16 +50,26 @@ def key_hashes(keys: np.ndarray, valid: np.ndarray, ordinal: np.ndarray) -> np.n
     return mix64(plain ^ mix64(ordinal.astype(np.uint64) * np.uint64(2) + (~valid).astype(np.uint64), 5), 1)
 
 
+#: Slots of a level whose set bits are counted ahead: eight 64-bit words and their running count.
+RANK_SLOTS = 512
+
+
 class PerfectHash:
-    """A minimal perfect hash over distinct 64-bit hashes, made of bit levels."""
+    """A minimal perfect hash over distinct 64-bit hashes, made of bit levels.
+
+    All levels are one array of 64-bit words, each level from a multiple of ``RANK_SLOTS`` bits on, beside
+    the number of set bits before each block of eight words. A probe reads one word a level, and for the
+    place of its bit at most one block; nothing is unpacked.
+    """
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
-        ends = np.cumsum([0, *[int(x.sum()) for x in levels]])
-        self.ranks = [np.cumsum(x) - x + e for x, e in zip(levels, ends, strict=False)]
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, ranks: np.ndarray):
+        self.sizes, self.words, self.ranks = sizes, words, ranks
+        blocks = -(-sizes // RANK_SLOTS)
+        self.starts = (np.cumsum(blocks) - blocks) * RANK_SLOTS
 
     @classmethod
     def build(cls, hashes: np.ndarray) -> PerfectHash:
+        sizes: list[int] = []
         levels: list[np.ndarray] = []
         left = hashes
         while len(left):
@@ -65,36 +78,49 @@ class PerfectHash:
             size = max(8, int(GAMMA * len(left)))
             slot = (mix64(left, 10 + len(levels)) % np.uint64(size)).astype(np.int64)
             bits = np.bincount(slot, minlength=size) == 1
-            levels.append(bits)
+            sizes.append(size)
+            levels.append(np.pad(bits, (0, -size % RANK_SLOTS)))
             left = left[~bits[slot]]
-        return cls(levels)
+        flat = np.packbits(np.concatenate(levels) if levels else np.zeros(0, bool), bitorder="little")
+        words = flat.view("<u8")
+        total = np.cumsum(np.bitwise_count(words).reshape(-1, RANK_SLOTS // 64).sum(1, dtype=np.int64))
+        return cls(np.array(sizes, np.int64), words, np.append(0, total[:-1]).astype("<u4") if len(total) else np.zeros(0, "<u4"))
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """Each hash's place, -1 where no level holds it."""
         out = np.full(len(hashes), -1, np.int64)
         todo = np.arange(len(hashes))
-        for n, (bits, rank) in enumerate(zip(self.levels, self.ranks, strict=True)):
-            slot = (mix64(hashes[todo], 10 + n) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[slot]
-            out[todo[hit]] = rank[slot[hit]]
+        for n, (size, start) in enumerate(zip(self.sizes.tolist(), self.starts.tolist(), strict=True)):
+            bit = start + (mix64(hashes[todo], 10 + n) % np.uint64(size)).astype(np.int64)
+            hit = (self.words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+            out[todo[hit]] = self._rank(bit[hit])
             todo = todo[~hit]
             if not len(todo):
                 break
         return out
 
+    def _rank(self, bit: np.ndarray) -> np.ndarray:
+        """Set bits before each place: those before its block, in the block's words before its own, and in its word."""
+        word, block = bit >> 6, bit // RANK_SLOTS
+        rank = self.ranks[block].astype(np.int64)
+        for k in range(RANK_SLOTS // 64 - 1):
+            before = block * (RANK_SLOTS // 64) + k
+            inside = before < word
+            rank[inside] += np.bitwise_count(self.words[before[inside]])
+        below = (np.uint64(1) << (bit & 63).astype(np.uint64)) - np.uint64(1)
+        return rank + np.bitwise_count(self.words[word] & below)
+
     def pack(self) -> bytes:
-        head = np.array([len(self.levels), *[len(x) for x in self.levels]], "<u4").tobytes()
-        return head + b"".join(np.packbits(x).tobytes() for x in self.levels)
+        return np.array([len(self.sizes), *self.sizes], "<u4").tobytes() + self.ranks.tobytes() + self.words.tobytes()
 
     @classmethod
     def unpack(cls, raw: bytes) -> PerfectHash:
+        """The hash over the packed bytes as they are."""
         n = int(np.frombuffer(raw, "<u4", 1)[0])
-        sizes = np.frombuffer(raw, "<u4", n, 4).tolist()
-        at, levels = 4 + 4 * n, []
-        for size in sizes:
-            levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, -(-size // 8), at), count=size).astype(bool))
-            at += -(-size // 8)
-        return cls(levels)
+        sizes = np.frombuffer(raw, "<u4", n, 4).astype(np.int64)
+        blocks = int((-(-sizes // RANK_SLOTS)).sum())
+        at = 4 + 4 * n
+        return cls(sizes, np.frombuffer(raw, "<u8", blocks * (RANK_SLOTS // 64), at + 4 * blocks), np.frombuffer(raw, "<u4", blocks, at))
 
 
 #: What the index holds for each place.
@@ -105,7 +131,7 @@ class ShardIndex:
     """A shard's index: hash of a key to (start, length) in its payload, checked by fingerprint."""
 
     def __init__(self, levels: bytes, places: bytes):
-        self.hash, self.places = PerfectHash.unpack(levels), np.frombuffer(places, PLACE)
+        self.hash, self.places = PerfectHash.unpack(levels), np.frombuffer(places, PLACE) if len(places) else np.zeros(0, PLACE)
 
     @staticmethod
     def build(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes]:
@@ -218,19 +244,23 @@ def lookup(store: DataFrame, wanted: DataFrame, width: int = 16) -> DataFrame:
     """(doc_id, ids) for each wanted key that the store holds; its first row where the key repeats.
 
     ``store`` is the shard table, ``wanted`` has doc_id. Key ranges are cut into steps of the shards'
-    mean span, so a shard lies in two steps on average and keys find their shards by an equi-join; one
-    probe of the index follows for each key.
+    mean span, so a shard lies in two steps on average and keys find their shards by an equi-join. Shards
+    and the keys asked of them meet once in one group each, so a shard's payload is handed over once; a key
+    takes one probe of the index and one slice of the payload. More than ``BLOCK_KEYS`` keys of a shard are
+    asked in several rows of that group.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys = np.array(row["wanted"], np.int64)
-                found, starts, lengths = ShardIndex(row["levels"], row["places"]).find(key_hashes(keys, np.ones(len(keys), bool), np.zeros(len(keys), np.int64)))
-                payload = np.frombuffer(row["payload"], f"<u{width // 8}")
-                ids = [payload[s : s + n].astype("<u4").tobytes() for s, n in zip(starts[found].tolist(), lengths[found].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[found]), pa.array(ids, pa.binary())], schema=schema)
+    itemsize = width // 8
+
+    def probe(key: tuple, shards: pa.Table, asked: pa.Table) -> pa.Table:
+        if not (shards.num_rows and asked.num_rows):
+            return schema.empty_table()
+        index = ShardIndex(shards.column("levels")[0].as_buffer(), shards.column("places")[0].as_buffer())
+        payload = shards.column("payload")[0].as_buffer()
+        keys = np.concatenate([np.array(w, np.int64) for w in asked.column("wanted").to_pylist()])
+        found, starts, lengths = index.find(key_hashes(keys, np.ones(len(keys), bool), np.zeros(len(keys), np.int64)))
+        ids = [np.frombuffer(payload, f"<u{itemsize}", n, s * itemsize).astype("<u4").tobytes() for s, n in zip(starts[found].tolist(), lengths[found].tolist(), strict=True)]
+        return pa.Table.from_arrays([pa.array(keys[found]), pa.array(ids, pa.binary())], schema=schema)
 
     bounds = store.where("first_key is not null").select("part", "shard", "first_key", "last_key")
     step = max(1, int(bounds.agg(F.avg(F.col("last_key") - F.col("first_key") + 1)).first()[0] or 1))
@@ -238,8 +268,11 @@ def lookup(store: DataFrame, wanted: DataFrame, width: int = 16) -> DataFrame:
     spread = bounds.withColumn("step", F.explode(F.sequence(on("first_key"), on("last_key"))))
     keys = wanted.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct().withColumn("step", on("key"))
     routed = keys.join(spread, "step").where(F.col("key").between(F.col("first_key"), F.col("last_key")))
-    asked = routed.withColumn("block", F.floor(F.col("key") / 4096)).groupBy("part", "shard", "block").agg(F.collect_list("key").alias("wanted"))
-    return store.join(asked, ["part", "shard"]).select("wanted", "levels", "places", "payload").mapInArrow(probe, "doc_id long, ids binary")
+    asked = routed.withColumn("block", F.floor(F.col("key") / BLOCK_KEYS)).groupBy("part", "shard", "block").agg(F.collect_list("key").alias("wanted"))
+    # both sides of the groups come from the store: new names tell their columns apart
+    asked = asked.select(F.col("part").alias("of_part"), F.col("shard").alias("of_shard"), "wanted")
+    visited = store.join(asked, (store["part"] == F.col("of_part")) & (store["shard"] == F.col("of_shard")), "left_semi").select("part", "shard", "levels", "places", "payload")
+    return visited.groupBy("part", "shard").cogroup(asked.groupBy("of_part", "of_shard")).applyInArrow(probe, "doc_id long, ids binary")
 
 
 def crc32(data: bytes) -> int:
