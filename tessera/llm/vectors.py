@@ -1,15 +1,16 @@
 """Nearest neighbours by randomly rotated one-bit codes with error bounds and exact reranking.
 
 A vector, less the mean, is rotated by a random orthogonal matrix and kept as the signs of its
-components, its length, and the inner product of its direction with its code. From packed bits and
-these scalars the inner product with any query is estimated without bias, with an error that shrinks
-with the dimension; a vector whose lower bound of the distance beats the k-th distance found so far is
-compared exactly, all others are skipped. Queries go to the indexed rows in blocks of bounded size.
+components in 64-bit words, its length, and the inner product of its direction with its code. A query is
+rotated too and kept as four bit planes of its components. Bits that code and planes share are counted
+word by word; from these counts and the scalars the inner product is estimated without bias, with an error
+that shrinks with the dimension. A vector whose lower bound of the distance beats the k-th distance found so
+far is compared exactly, all others are skipped. Queries go to the indexed rows in blocks of bounded size.
 
 Defined cases: vectors that are null, empty, zero, of another length than the most frequent one, or
 hold null or non-finite components take no part, nor do rows without an id; a query is not compared
 with rows of its own id; an id that repeats among queries asks once, with its least vector; repeated
-candidate rows count each; ties go to the smaller id; fewer candidates than k give fewer rows.
+candidate rows count each; vectors of doubles are compared in doubles, all others as floats; ties go to the smaller id; fewer candidates than k give fewer rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import Scratch
 
@@ -33,23 +35,25 @@ SAMPLE_ROWS = 1000
 ROW_BLOCK, QUERY_BLOCK = 4096, 64
 #: Share of chosen pairs from which a block's single-precision products are taken at once.
 DENSE = 0.05
+#: Bit planes of a query's components.
+PLANES = 4
 
-CODED = "vec_id long, code binary, length double, alignment double, vector array<float>"
 FOUND = "query_id long, vec_id long, score double"
 
 
 def taking_part(vectors: DataFrame) -> DataFrame:
     """(vec_id, vector) of the rows that take part."""
+    kind = vectors.schema["embedding"].dataType.elementType
+    kind = "float" if isinstance(kind, T.FloatType) else "double"
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
     rows = rows.where("vec_id is not null and size(vector) > 0").where(sound)
     common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").select("n").first()
     return rows.where(F.size("vector") == (common.n if common else 0))
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
-    flat = column.flatten()
-    return np.asarray(flat, dtype=np.float32).reshape(n, -1) if n else np.zeros((0, 0), np.float32)
+    return np.asarray(column.flatten()).reshape(n, -1) if n else np.zeros((0, 0), np.float32)
 
 
 def mean_vector(rows: DataFrame) -> np.ndarray:
@@ -80,6 +84,33 @@ class Rotation:
         return (vectors.astype(np.float64) - self.mean) @ self.matrix
 
 
+def bit_words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words, filled up with zeros."""
+    padded = np.pad(bits, [*[(0, 0)] * (bits.ndim - 1), (0, -bits.shape[-1] % 64)])
+    return np.packbits(padded, axis=-1, bitorder="little").view("<u8")
+
+
+class QueryPlanes:
+    """Rotated queries with ``PLANES`` bits a component: component = low + step * integer, in planes."""
+
+    def __init__(self, turned: np.ndarray):
+        self.low = turned.min(1, initial=0.0)
+        self.step = (turned.max(1, initial=0.0) - self.low) / ((1 << PLANES) - 1)
+        whole = np.rint((turned - self.low[:, None]) / np.where(self.step > 0, self.step, 1)[:, None]).astype(np.uint8)
+        self.planes = np.stack([bit_words((whole >> j) & 1 == 1) for j in range(PLANES)])
+        self.total = (self.low * turned.shape[1] + self.step * whole.sum(1)).astype(np.float32)
+        self.low, self.step = self.low.astype(np.float32), self.step.astype(np.float32)
+
+    def products(self, q: slice, codes: np.ndarray) -> np.ndarray:
+        """Inner products of the queries with the signs that the codes stand for (bit 1 is +1, bit 0 is -1)."""
+        shared = np.zeros((len(self.low[q]), len(codes)), np.float32)
+        for j in range(PLANES):
+            for w in range(codes.shape[1]):
+                shared += np.bitwise_count(self.planes[j, q, w][:, None] & codes[:, w]) * np.float32(1 << j)
+        ones = np.bitwise_count(codes).sum(1, dtype=np.float32)
+        return 2 * (self.low[q, None] * ones + self.step[q, None] * shared) - self.total[q, None]
+
+
 def encode(rows: DataFrame, rotation: Rotation) -> DataFrame:
     """The index: code bits and scalars of every row beside its original vector."""
 
@@ -90,11 +121,12 @@ def encode(rows: DataFrame, rotation: Rotation) -> DataFrame:
             turned = rotation(_matrix(batch.column("vector"), batch.num_rows))
             length = np.linalg.norm(turned, axis=1)
             alignment = np.abs(turned).sum(1) / np.sqrt(turned.shape[1]) / np.where(length > 0, length, 1)
-            codes = np.packbits(turned > 0, axis=1)
+            codes = bit_words(turned > 0)
             columns = [batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(np.where(length > 0, alignment, 1.0)), batch.column("vector")]
             yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "code", "length", "alignment", "vector"])
 
-    return rows.mapInArrow(coded, CODED)
+    vector = rows.schema["vector"].dataType.simpleString()
+    return rows.mapInArrow(coded, f"vec_id long, code binary, length double, alignment double, vector {vector}")
 
 
 def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,7 +144,7 @@ class Nearest:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: Rotation, k: int, limit: np.ndarray | None = None):
         self.ids, self.vectors, self.k = ids, vectors, k
         turned = rotation(vectors)
-        self.turned, self.square = turned.astype(np.float32), (turned**2).sum(1).astype(np.float32)
+        self.planes, self.square = QueryPlanes(turned), (turned**2).sum(1).astype(np.float32)
         self.distance = np.full((len(ids), k), np.inf)
         self.best = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.limit = np.full(len(ids), np.inf) if limit is None else limit
@@ -120,13 +152,13 @@ class Nearest:
 
     def meet(self, ids: np.ndarray, codes: np.ndarray, length: np.ndarray, alignment: np.ndarray, vectors: np.ndarray) -> None:
         d = vectors.shape[1]
-        signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-        signs *= (2 / np.sqrt(d) * length / alignment).astype(np.float32)[:, None]
+        scale = (2 / np.sqrt(d) * length / alignment).astype(np.float32)
         square, norm = (length**2).astype(np.float32), np.einsum("ij,ij->i", vectors, vectors)
         spread = (2 * EPSILON * length * np.sqrt(np.maximum(0, 1 / alignment**2 - 1) / max(1, d - 1))).astype(np.float32)
+        rounding = scale * np.float32(EPSILON * np.sqrt(d / 12))  # for each unit of a query's step
         for start in range(0, len(self.ids), QUERY_BLOCK):
             q = slice(start, start + QUERY_BLOCK)
-            middle = square - self.turned[q] @ signs.T + self.square[q, None]
+            middle = square - scale * self.planes.products(q, codes) + self.square[q, None]
             own = self.ids[q, None] == ids
             middle[own] = np.inf
             if len(ids) > self.k:  # the nearest by estimate first: they tighten the limits
@@ -136,14 +168,14 @@ class Nearest:
                 middle[which, near.ravel()] = np.inf
             limit = np.minimum(self.limit[q], self.distance[q, -1])
             bar = (limit**2 * (1 + 1e-5) + 1e-9).astype(np.float32)
-            which, row = np.nonzero(middle - np.sqrt(self.square[q])[:, None] * spread <= bar[:, None])
+            which, row = np.nonzero(~(middle - np.sqrt(self.square[q])[:, None] * spread - self.planes.step[q, None] * rounding > bar[:, None]))
             # Single precision, with room for its rounding, leaves few pairs for the exact distance.
             if len(which) > DENSE * middle.size:
                 product = (self.vectors[q] @ vectors.T)[which, row]
             else:
                 product = np.einsum("ij,ij->i", self.vectors[q][which], vectors[row])
             size = self.norm[q][which] + norm[row]
-            close = size - 2 * product <= bar[which] + 1e-5 * size
+            close = ~(size - 2 * product > bar[which] + 1e-5 * size)  # also what overflowed
             self._compare(which[close], row[close], start, ids, vectors, own)
 
     def _compare(self, which: np.ndarray, row: np.ndarray, start: int, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> None:
@@ -166,24 +198,31 @@ class Nearest:
 def first_limits(ids: np.ndarray, vectors: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
     """Each query's k-th distance within a sample of the rows, an upper bound of its k-th distance overall."""
     out = np.full(len(ids), np.inf)
-    for i, (key, vector) in enumerate(zip(ids, vectors, strict=True)):
-        others = sample[sample_ids != key]
-        if len(others) >= k:
-            out[i] = np.sqrt(np.partition(((others.astype(np.float64) - vector) ** 2).sum(1), k - 1)[k - 1]) * (1 + 1e-9)
+    if len(sample) < k:
+        return out
+    sample = sample.astype(np.float64)
+    norm = np.einsum("ij,ij->i", sample, sample)
+    for start in range(0, len(ids), QUERY_BLOCK):
+        q = slice(start, start + QUERY_BLOCK)
+        some = vectors[q].astype(np.float64)
+        size = np.einsum("ij,ij->i", some, some)[:, None] + norm
+        square = size - 2 * (some @ sample.T) + 1e-9 * size  # with room for its rounding
+        square[ids[q, None] == sample_ids] = np.inf
+        out[q] = np.sqrt(np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0)) * (1 + 1e-9)
     return out
 
 
-def _ask(index: DataFrame, rotation: Rotation, ids: np.ndarray, vectors: np.ndarray, k: int, limits: np.ndarray) -> DataFrame:
-    """Each task's k nearest rows for every one of the given queries."""
-    asked = index.sparkSession.sparkContext.broadcast((ids, vectors, limits))
+def _ask(index: DataFrame, rotation: Rotation, ids: np.ndarray, vectors: np.ndarray, k: int, sample_ids: np.ndarray, sample: np.ndarray) -> DataFrame:
+    """Each task's k nearest rows for every one of the given queries; the sample gives their first limits."""
+    asked = index.sparkSession.sparkContext.broadcast((ids, vectors, sample_ids, sample))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, limits = asked.value
-        near = Nearest(ids, vectors, rotation, k, limits)
+        ids, vectors, sample_ids, sample = asked.value
+        near = Nearest(ids, vectors, rotation, k, first_limits(ids, vectors, sample_ids, sample, k))
         for batch in batches:
             for at in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(at, ROW_BLOCK)
-                codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                codes = np.frombuffer(b"".join(part.column("code").to_pylist()), "<u8").reshape(part.num_rows, -1)
                 near.meet(np.asarray(part.column("vec_id")), codes, np.asarray(part.column("length")), np.asarray(part.column("alignment")), _matrix(part.column("vector"), part.num_rows))
         some = np.isfinite(near.distance)
         who = np.nonzero(some)[0]
@@ -205,13 +244,14 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10) -> Dat
     size = queries.count() * max(1, len(rotation.mean)) * 4
     rounds = max(1, -(-size // QUERY_BYTES))
     some = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vec_id", "vector").collect()
-    sample_ids, sample = np.array([x.vec_id for x in some]), np.array([x.vector for x in some], np.float32)
+    kind = np.float32 if index.schema["vector"].dataType.elementType == T.FloatType() else np.float64
+    sample_ids, sample = np.array([x.vec_id for x in some]), np.array([x.vector for x in some], kind)
     parts: list[DataFrame] = []
     for r in range(rounds):
         asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r).orderBy("vec_id").collect()
         if asked:
-            ids, of = np.array([x.vec_id for x in asked]), np.array([x.vector for x in asked], np.float32)
-            parts.append(_ask(index, rotation, ids, of, k, first_limits(ids, of, sample_ids, sample, k)))
+            ids, of = np.array([x.vec_id for x in asked]), np.array([x.vector for x in asked], kind)
+            parts.append(_ask(index, rotation, ids, of, k, sample_ids, sample))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = parts[0]
