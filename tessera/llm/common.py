@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -19,25 +21,46 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores before it until none of ``columns`` has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Scratch folders of each open ``scratches`` block, innermost last.
+_blocks: list[list[Scratch]] = []
 
-    Where it is unset (tests on one machine) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+
+@contextmanager
+def scratches() -> Iterator[None]:
+    """Delete the scratch folders that operators made inside the block at its end: what they returned must
+    have been written or collected by then."""
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for made in _blocks.pop():
+            made.close()
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor rereads them."""
+    """Tables written to the shared folder to cut lineage; a lost executor rereads them.
+
+    Results of operators read them, so they stay until ``close`` or the end of a ``scratches`` block.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}", 0
         self.made: list[tuple[DataFrame, str]] = []
+        if _blocks:
+            _blocks[-1].append(self)
+
+    def close(self) -> None:
+        """Delete the whole folder."""
+        self._delete(self.root)
+        self.made = []
 
     def path(self, name: str) -> str:
         self.count += 1

@@ -5,12 +5,14 @@ repetition rate: target share times target rows over the source's rows. The draw
 distribution at a number in [0, 1) that a hash of seed and key fixes, so a rerun repeats it and rows
 need no state. Copies are then put in the order of a hash of seed, key and copy number.
 
-DataFrame functions only. The source table (one row a source) is broadcast up to a checked count.
+DataFrame functions only. The source table (one row a source, as long as its distribution) is broadcast
+up to a checked size. The shuffle key is uniform, so its leading bits deal the copies over partitions in
+order: nothing is sampled, and rows are read and drawn once.
 
 Defined cases: a null source is a source of its own; a null key draws as the empty key; rows that
 repeat a key draw the same number; sources that the weights do not name get ``other_weight``; sources
-with weight 0 leave; an empty table gives no rows. Columns of the input named ``copy_no`` or
-``shuffle_key`` are replaced.
+with weight 0 leave; an empty table gives no rows. Columns of the input keep their names: a name that the
+operator adds gets underscores before it where the input has it already.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import free_name
+
 #: Without given weights a source's share follows its rows to this power, so large sources weigh less.
 EXPONENT = 0.5
-#: Sources up to this many are broadcast; more are joined by shuffle.
-BROADCAST_SOURCES = 20_000
+#: Probabilities of all sources together that are broadcast at most (8 bytes each); more are joined by shuffle.
+BROADCAST_STEPS = 1_000_000
 
 
 def unit_hash(*parts: Column | str) -> Column:
@@ -30,9 +34,14 @@ def unit_hash(*parts: Column | str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def last_count(rate: Column) -> Column:
+    """The largest number of copies that is told apart; what lies beyond is below the hash's resolution."""
+    return F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int")
+
+
 def poisson_cdf(rate: Column) -> Column:
-    """Cumulated probabilities of 0, 1, 2, ... until what is left lies below the hash's resolution."""
-    last = F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int")
+    """Cumulated probabilities of 0, 1, 2, ..."""
+    last = last_count(rate)
     start = F.struct(F.lit(0.0).alias("log_ratio"), F.exp(-rate).alias("total"), F.array(F.exp(-rate)).alias("all"))
 
     def step(acc: Column, k: Column) -> Column:
@@ -43,8 +52,8 @@ def poisson_cdf(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["all"]).otherwise(F.array(F.lit(1.0)))
 
 
-def target_rates(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | None = None, other_weight: float = 0.0) -> tuple[DataFrame, int]:
-    """(source, rate) for each source, and the number of sources.
+def target_rates(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | None = None, other_weight: float = 0.0) -> DataFrame:
+    """(source, rate) for each source.
 
     ``weights`` are target shares by source in any unit; without them the shares are rows to the power
     ``EXPONENT``. ``rows`` is the expected size of the result, the input's size if None.
@@ -57,26 +66,27 @@ def target_rates(docs: DataFrame, weights: dict[str, float] | None = None, rows:
         for name, value in weights.items():
             weight = F.when(F.col("source") == name, F.lit(float(value))).otherwise(weight)
     weighed = counts.withColumn("weight", weight)
-    all_rows, total, sources = weighed.agg(F.sum("n"), F.sum("weight"), F.count(F.lit(1))).first()
+    all_rows, total = weighed.agg(F.sum("n"), F.sum("weight")).first()
     if not total:
-        return weighed.select("source", F.lit(0.0).alias("rate")), sources
-    return weighed.select("source", (F.lit(float(all_rows if rows is None else rows)) * F.col("weight") / F.lit(float(total)) / F.col("n")).alias("rate")), sources
+        return weighed.select("source", F.lit(0.0).alias("rate"))
+    return weighed.select("source", (F.lit(float(all_rows if rows is None else rows)) * F.col("weight") / F.lit(float(total)) / F.col("n")).alias("rate"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, rows: int | None = None, other_weight: float = 0.0, seed: int = 1) -> DataFrame:
     """All copies of all documents in shuffled order, with ``copy_no`` (from 1) and ``shuffle_key``."""
-    docs = docs.drop("copy_no", "shuffle_key")
-    rates, sources = target_rates(docs, weights, rows, other_weight)
-    steps = rates.select(F.col("source").alias("_mix_source"), poisson_cdf(F.col("rate")).alias("_mix_cdf"))
-    if sources <= BROADCAST_SOURCES:
+    source, cdf, u, n, part, copy_no, shuffle_key = (free_name(docs.columns, x) for x in ("_mix_source", "_mix_cdf", "_mix_u", "_mix_n", "_mix_part", "copy_no", "shuffle_key"))
+    rates = target_rates(docs, weights, rows, other_weight)
+    steps = rates.select(F.col("source").alias(source), poisson_cdf(F.col("rate")).alias(cdf))
+    if (rates.agg(F.sum(last_count(F.col("rate")) + 1)).first()[0] or 0) <= BROADCAST_STEPS:
         steps = F.broadcast(steps)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    draw = unit_hash(F.lit(f"draw {seed}"), key)
-    times = F.size(F.filter(F.col("_mix_cdf"), lambda c: c < F.col("_mix_u")))
-    counted = docs.join(steps, docs["source"].eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", draw).withColumn("_mix_n", times).where("_mix_n > 0")
-    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).drop("_mix_source", "_mix_cdf", "_mix_u", "_mix_n")
-    shuffled = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), key, F.col("copy_no").cast("string"))))
-    return shuffled.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
+    times = F.size(F.filter(F.col(cdf), lambda c: c < F.col(u)))
+    counted = docs.join(steps, docs["source"].eqNullSafe(F.col(source))).withColumn(u, unit_hash(F.lit(f"draw {seed}"), key)).withColumn(n, times).where(F.col(n) > 0)
+    copies = counted.withColumn(copy_no, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(source, cdf, u, n)
+    shuffled = copies.withColumn(shuffle_key, F.md5(F.concat_ws("|", F.lit(f"order {seed}"), key, F.col(copy_no).cast("string"))))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring(shuffle_key, 1, 8), 16, 10).cast("double") * parts / float(1 << 32)).cast("int")
+    return shuffled.withColumn(part, place).repartitionById(parts, part).sortWithinPartitions(shuffle_key, "doc_id").drop(part)
 
 
 #: The draw and the order of ``replicate`` with its defaults over ``documents``.

@@ -91,6 +91,14 @@ def test_expected_shares_and_order(spark):
     out = mixing.replicate(docs, {"big": 1, "small": 1}).toPandas()
     assert abs((out.source == "small").mean() - 0.5) < 0.03 and abs(len(out) - 20_000) < 600
     assert list(out.shuffle_key) == sorted(out.shuffle_key)
+    assert set(out.copy_no) == {7} and out._copy_no.min() == 1
+
+
+def test_many_sources_are_joined_without_broadcast(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id as doc_id", "'x' as text", "concat('s', id % 50) as source")
+    want = sorted(map(tuple, mixing.replicate(docs, rows=900).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_STEPS", 10)
+    assert sorted(map(tuple, mixing.replicate(docs, rows=900).collect())) == want
 
 
 def test_large_rates_and_empty_tables(spark):
