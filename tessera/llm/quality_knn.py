@@ -54,23 +54,28 @@ class Model:
     share: float
 
 
+#: Words whose shapes are taken at once.
+SHAPE_WORDS = 200_000
+
+
 def _shapes(texts: Texts) -> np.ndarray:
     """A hash of each word's shape: which classes it has, its first and last class, and whether it repeats."""
     n = len(texts.hashes)
-    if not n:
-        return np.zeros(0, np.uint64)
-    kinds = _CLASS[texts.data]
-    bits = np.uint64(1) << (kinds % np.uint64(64))
-    present = np.bitwise_or.reduceat(np.append(bits, np.uint64(0)), np.stack([texts.starts, texts.ends], 1).ravel())[::2]
+    present = np.zeros(n, np.uint64)
+    for i in range(0, n, SHAPE_WORDS):
+        starts, ends = texts.starts[i : i + SHAPE_WORDS], texts.ends[i : i + SHAPE_WORDS]
+        bits = np.uint64(1) << (_CLASS[texts.data[starts[0] : ends[-1]]] % np.uint64(64))
+        present[i : i + SHAPE_WORDS] = np.bitwise_or.reduceat(np.append(bits, np.uint64(0)), (np.stack([starts, ends], 1) - starts[0]).ravel())[::2]
     repeats = np.zeros(n, np.uint64)
     repeats[1:] = texts.hashes[1:] == texts.hashes[:-1]
     repeats[texts.first[:-1][texts.first[:-1] < n]] = 0
-    return mix64(present ^ mix64(kinds[texts.starts] * np.uint64(512) + kinds[texts.ends - 1] * np.uint64(2) + repeats, 21), 22)
+    first, last = _CLASS[texts.data[texts.starts]], _CLASS[texts.data[texts.ends - 1]]
+    return mix64(present ^ mix64(first * np.uint64(512) + last * np.uint64(2) + repeats, 21), 22)
 
 
 def term_counts(texts: Texts, start: int, stop: int) -> np.ndarray:
     """Counts of the terms of documents start..stop, a row for each."""
-    n, out = stop - start, np.empty((stop - start, TERMS), np.float32)
+    n, out = stop - start, np.zeros((stop - start, TERMS), np.float32)
     words = slice(texts.first[start], texts.first[stop])
     doc = np.repeat(np.arange(n), texts.n_words[start:stop])
     at = 0
@@ -78,16 +83,14 @@ def term_counts(texts: Texts, start: int, stop: int) -> np.ndarray:
         bucket = (hashes % np.uint64(size)).astype(np.int64)
         out[:, at : at + size] = np.bincount(doc * size + bucket, minlength=n * size).reshape(n, size)
         at += size
-    hashes, first = texts.trigrams
-    part = slice(np.searchsorted(first, texts.begins[start]), np.searchsorted(first, texts.begins[stop]))
-    row = np.searchsorted(texts.begins, first[part], side="right") - 1 - start if n > 1 else np.zeros(part.stop - part.start, np.int64)
-    out[:, at:] = np.bincount(row * TRIGRAMS + hashes[part] % np.uint32(TRIGRAMS), minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
+    for hashes, of in texts.byte_windows(3, start, stop):
+        out[:, at:] += np.bincount((of - start) * TRIGRAMS + hashes % np.uint32(TRIGRAMS), minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
     return out
 
 
 def _shapes_of(texts: Texts) -> np.ndarray:
     if not hasattr(texts, "shapes"):
-        texts.shapes, texts.trigrams = _shapes(texts), texts.byte_windows(3)
+        texts.shapes = _shapes(texts)
     return texts.shapes
 
 
@@ -111,7 +114,7 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in text_batches(batches):
         texts = Texts(batch.column("text"))
         for i in range(0, len(texts), BLOCK):
-            counts = np.minimum(term_counts(texts, i, min(i + BLOCK, len(texts))), 65535).astype(np.uint16)
+            counts = term_counts(texts, i, min(i + BLOCK, len(texts))).astype(np.uint32)
             part = batch.slice(i, len(counts))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([x.tobytes() for x in counts], pa.binary())], schema=schema)
 
@@ -123,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, per_cla
     if len(set(y.tolist())) < 2:
         nothing = np.zeros((0, DIMENSIONS), np.float32)
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, DIMENSIONS), np.float32), nothing, y[:0], float(y.mean()) if len(y) else 0.5)
-    counts = np.stack([np.frombuffer(r.counts, np.uint16) for r in rows]).astype(np.float32)
+    counts = np.stack([np.frombuffer(r.counts, np.uint32) for r in rows]).astype(np.float32)
     idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 0.1).astype(np.float32)
     x = weighted(counts, idf)
     rng = np.random.default_rng(seed)  # randomized range finder with power steps

@@ -83,43 +83,74 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED_PERCENT * counts["n_words"])
 
 
-def families(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket of each n-gram, bounds of the documents) for each feature family."""
-    for k in (1, 2):
+def families(texts: Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(feature family, bucket of each n-gram, its document), a family in one or more parts."""
+    for f, k in enumerate((1, 2)):
         hashes, at = texts.windows(k)
-        yield (hashes >> np.uint64(47)).astype(np.int64), np.searchsorted(at, texts.first)
-    for k in (3, 4):
-        hashes, at = texts.byte_windows(k)
-        yield (hashes >> np.uint32(15)).astype(np.int64), np.searchsorted(at, texts.begins)
+        yield f, (hashes >> np.uint64(47)).astype(np.int64), np.searchsorted(texts.first, at, side="right") - 1
+    for f, k in enumerate((3, 4), 2):
+        for hashes, doc in texts.byte_windows(k):
+            yield f, (hashes >> np.uint32(15)).astype(np.int64), doc
 
 
 def margins(texts: Texts, model: Model) -> np.ndarray:
     """The linear score of each document."""
-    out = np.full(len(texts), model.bias)
-    for f, (bucket, first) in enumerate(families(texts)):
-        out += SCALE * sums_by_document(model.weights[bucket + f * BUCKETS], first) / np.maximum(np.diff(first), 1)
-    return out
+    n = len(texts)
+    sums, grams = np.zeros((FAMILIES, n)), np.zeros((FAMILIES, n))
+    for f, bucket, doc in families(texts):
+        sums[f] += np.bincount(doc, model.weights[bucket + f * BUCKETS], n)
+        grams[f] += np.bincount(doc, minlength=n)
+    return model.bias + (SCALE * sums / np.maximum(grams, 1)).sum(0)
+
+
+def frequencies(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets of all families, scaled frequencies) of each document."""
+    n = len(texts)
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(FAMILIES)]
+    for f, bucket, doc in families(texts):
+        found[f].append(np.unique(doc * BUCKETS + bucket, return_counts=True))
+    columns = []
+    for f, parts in enumerate(found):
+        slot, of = np.unique(np.concatenate([p for p, _ in parts]) if parts else np.zeros(0, np.int64), return_inverse=True)
+        count = np.bincount(of, np.concatenate([c for _, c in parts]) if parts else None, len(slot))
+        total = np.bincount(slot // BUCKETS, count, n)
+        columns.append((slot % BUCKETS + f * BUCKETS, count * SCALE / np.maximum(total, 1)[slot // BUCKETS], np.searchsorted(slot, np.arange(n + 1) * BUCKETS)))
+    for i in range(n):
+        yield tuple(np.concatenate([c[k][c[2][i] : c[2][i + 1]] for c in columns]) for k in (0, 1))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, label, buckets, frequencies) of rows that pass the base rules."""
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.binary()), ("frequencies", pa.binary())])
     for batch in text_batches(batches):
         texts = Texts(batch.column("text"))
-        failed = base_failed(base_counts(texts))
-        found: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
-        values: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
-        for f, (bucket, first) in enumerate(families(texts)):
-            for i in np.flatnonzero(~failed).tolist():
-                own, n = np.unique(bucket[first[i] : first[i + 1]], return_counts=True)
-                found[i].append((own + f * BUCKETS).astype(np.int32))
-                values[i].append((n * (SCALE / max(1, n.sum()))).astype(np.float32))
-        rows = [{"doc_id": k, "label": y, "buckets": np.concatenate(a).tobytes(), "frequencies": np.concatenate(v).tobytes()} for k, y, a, v in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), found, values, strict=True) if a]
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.binary()), ("frequencies", pa.binary())]))
+        failed = base_failed(base_counts(texts)).tolist()
+        rows = [
+            {"doc_id": key, "label": label, "buckets": bucket.astype(np.int32).tobytes(), "frequencies": value.astype(np.float32).tobytes()}
+            for key, label, bad, (bucket, value) in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), failed, frequencies(texts), strict=True)
+            if not bad
+        ]
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def passing_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of the rows that pass the base rules."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64())])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            texts = Texts(batch.column("text"))
+            passed = texts.n_words >= MIN_WORDS
+            passed &= 100 * repeated_words(texts) <= MAX_REPEATED_PERCENT * texts.n_words
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash")], schema=schema).filter(pa.array(passed))
+
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(judged, "doc_id long, text_hash long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds: int = 120) -> Model:
-    """Train on the bounded sample; the driver holds its features only."""
-    sample = labelled_sample(docs, labels, per_class).mapInArrow(_features, "doc_id long, label int, buckets binary, frequencies binary")
+    """Train on the bounded sample of rows that pass the base rules; the driver holds its features only."""
+    sample = labelled_sample(docs, labels, per_class, known_texts=passing_texts(docs)).mapInArrow(_features, "doc_id long, label int, buckets binary, frequencies binary")
     rows = sorted(sample.collect(), key=lambda r: r.doc_id)
     y = np.array([r.label for r in rows], np.float64)
     weights = np.zeros(FAMILIES * BUCKETS, np.float32)
