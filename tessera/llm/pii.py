@@ -28,6 +28,7 @@ import itertools
 import random
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,8 @@ SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 600, 400
 BUCKETS, N_FEATURES = 1 << 12, 10
 #: Message rounds, damping, and the marginal from which a token counts.
 ROUNDS, DAMPING, CERTAIN = 12, 0.3, 0.9
+#: Edges, or tokens, whose scores are held at once.
+EDGE_BLOCK = 50_000
 #: How far the other labels of a token of a base span lie below its own, as log potentials.
 GIVEN = 30.0
 _EDGE = ".,;:!?|$%&*#\"'[]{}<>"
@@ -169,29 +172,33 @@ def _variables(text: str) -> Iterator[tuple[int, int, int, str, str, str]]:
 
 
 def tokens_of(some: list[str]) -> Tokens:
-    """The variables of the texts and their edges; only texts that hold a digit, '@' or '+' have any."""
-    doc, start, end, features, chain, skip = [], [], [], [], [], []
+    """The variables of the texts and their edges; only texts that hold a digit or '@' have any."""
+    doc, start, end, beside, key, of_key = (array("q") for _ in range(6))
+    features = array("i")
     for d, text in enumerate(some):
         if not _told.search(text):
             continue
-        last_of: dict[str, int] = {}
         previous = -2
         for i, s, e, token, before, after in _variables(text):
             node = len(doc)
             doc.append(d)
             start.append(s)
             end.append(e)
-            features.append(_features(token, before, after))
-            beside = previous == i - 1
-            if beside:
-                chain.append((node - 1, node))
+            beside.append(previous == i - 1)
+            features.extend(_features(token, before, after))
             previous = i
-            for key in _keys(token):
-                if key in last_of and not (beside and last_of[key] == node - 1):
-                    skip.append((last_of[key], node))
-                last_of[key] = node
-    pairs = [np.array(sorted(set(x)), np.int64).reshape(-1, 2) for x in (chain, skip)]
-    return Tokens(np.array(doc, np.int64), np.array(start, np.int64), np.array(end, np.int64), np.array(features, np.int64).reshape(-1, N_FEATURES), *pairs)
+            for k in _keys(token):
+                key.append(hash(k))
+                of_key.append(node)
+    doc, start, end, beside, key, of_key = (np.array(x, np.int64) for x in (doc, start, end, beside, key, of_key))
+    chained = np.flatnonzero(beside)
+    order = np.lexsort((of_key, doc[of_key], key))  # tokens of one key of a document stand together, in order
+    key, of_key = key[order], of_key[order]
+    a, b = of_key[:-1], of_key[1:]
+    repeats = (key[1:] == key[:-1]) & (doc[a] == doc[b]) & (a < b) & ~((b == a + 1) & (beside[b] == 1))
+    skip = np.unique(a[repeats] * (len(doc) + 1) + b[repeats])
+    pairs = np.stack([skip // (len(doc) + 1), skip % (len(doc) + 1)], 1)
+    return Tokens(doc, start, end, np.array(features, np.int32).reshape(-1, N_FEATURES), np.stack([chained - 1, chained], 1), pairs)
 
 
 def _marked(tokens: Tokens, spans: list[list[Span]]) -> np.ndarray:
@@ -356,33 +363,48 @@ def trained(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], r
     return Field(_token_weights(x[known], labels[known], rounds), _edge_weights(unary, labels, chain), _edge_weights(unary, labels, skip))
 
 
+def _unary(tokens: Tokens, field: Field) -> np.ndarray:
+    """The token part of each variable's labels."""
+    out = np.zeros((len(tokens.doc), N_LABELS))
+    for i in range(0, len(out), EDGE_BLOCK):
+        out[i : i + EDGE_BLOCK] = field.weights[tokens.features[i : i + EDGE_BLOCK]].sum(1)
+    return out
+
+
+def _gathered(unary: np.ndarray, target: np.ndarray, message: np.ndarray) -> np.ndarray:
+    """The token parts with all messages that reach the tokens."""
+    return np.stack([unary[:, k] + np.bincount(target, message[:, k], len(unary)) for k in range(N_LABELS)], 1)
+
+
 def marginals(tokens: Tokens, field: Field, given: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
     """Label marginals of all tokens by damped loopy sum-product over chain and skip edges.
 
-    ``given``: labels that are known, 0 where they are not.
+    ``given``: labels that are known, 0 where they are not. Edges are gone through in blocks, so what is
+    held beside the messages does not grow with the text.
     """
-    unary = field.weights[tokens.features].sum(1)
+    belief = unary = _unary(tokens, field)
     if given is not None:
         known = np.flatnonzero(given)
         unary[known] = -GIVEN
         unary[known, given[known]] = 0
-    edges = np.concatenate([tokens.chain, tokens.skip])
-    if len(edges):
-        potential = np.concatenate([np.broadcast_to(field.chain, (len(tokens.chain), N_LABELS, N_LABELS)), np.broadcast_to(field.skip, (len(tokens.skip), N_LABELS, N_LABELS))])
-        potential = np.concatenate([potential, potential.transpose(0, 2, 1)])
+    n_chain, n = len(tokens.chain), len(tokens.chain) + len(tokens.skip)
+    if n:
+        edges = np.concatenate([tokens.chain, tokens.skip])
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        message = np.zeros((2 * len(edges), N_LABELS))
+        parts = [(0, n_chain, field.chain), (n_chain, n, field.skip), (n, n + n_chain, field.chain.T), (n + n_chain, 2 * n, field.skip.T)]
+        message, new = np.zeros((2 * n, N_LABELS), np.float32), np.zeros((2 * n, N_LABELS), np.float32)
         for _ in range(rounds):
-            belief = unary.copy()
-            np.add.at(belief, target, message)
-            out = (belief[source] - message[back])[:, :, None] + potential
-            top = out.max(1, keepdims=True)
-            new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
-            new -= new.max(1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
-        np.add.at(unary, target, message)
-    p = np.exp(unary - unary.max(1, keepdims=True))
+            for first, last, potential in parts:
+                for i in range(first, last, EDGE_BLOCK):
+                    block = slice(i, min(i + EDGE_BLOCK, last))
+                    back = slice(*(x + n if first < n else x - n for x in (block.start, block.stop)))
+                    out = (belief[source[block]] - message[back])[:, :, None] + potential
+                    top = out.max(1, keepdims=True)
+                    sent = np.log(np.exp(out - top).sum(1)) + top[:, 0]
+                    new[block] = DAMPING * message[block] + (1 - DAMPING) * (sent - sent.max(1, keepdims=True))
+            message, new = new, message
+            belief = _gathered(unary, target, message)
+    p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
@@ -395,10 +417,11 @@ def all_spans(some: list[str], field: Field | None) -> list[tuple[list[Span], li
         given = _marked(tokens, base)
         p = marginals(tokens, field, given)
         label = np.where((p[:, 0] <= 1 - CERTAIN) & (given == 0), 1 + p[:, 1:].argmax(1), 0)
-        linked = set(map(tuple, tokens.chain.tolist()))
+        linked = np.zeros(len(label), bool)
+        linked[tokens.chain[:, 1]] = True
         run: list[int] = []
         for i in [*np.flatnonzero(label).tolist(), None]:
-            if run and (i is None or (run[-1], i) not in linked or label[i] != label[run[-1]]):
+            if run and (i is None or run[-1] != i - 1 or not linked[i] or label[i] != label[run[-1]]):
                 d, s, e = int(tokens.doc[run[0]]), int(tokens.start[run[0]]), int(tokens.end[run[-1]])
                 text = some[d]
                 while s < e and text[s] in _EDGE:
