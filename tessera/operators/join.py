@@ -39,11 +39,22 @@ def filter_by(keys: DataFrame, slots: DataFrame) -> DataFrame:
     return passed.union(marked.where("key is null")).drop("_slot")
 
 
-def materialize_sides(build: DataFrame, probe: DataFrame, build_rows: int, probe_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides' keys, the larger filtered by the smaller; on a tie the probe side is the filter."""
+def matching(keys: DataFrame, others: DataFrame) -> DataFrame:
+    """The keys that are among ``others``, by the filter and then exactly; NULL keys stay."""
+    passed = filter_by(keys, filter_slots(others))
+    found = passed.where("key is not null").join(others.select(F.col("key").alias("_other")), F.col("key") == F.col("_other"), "left_semi")
+    return found.union(passed.where("key is null"))
+
+
+def materialize_sides(build: DataFrame, probe: DataFrame, build_rows: int, probe_rows: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both sides' keys, the larger filtered by the smaller; on a tie the probe side is the filter.
+
+    With ``exact`` the filter's false positives are dropped: there are some as soon as keys reach beyond 2^20.
+    """
+    held = matching if exact else lambda keys, others: filter_by(keys, filter_slots(others))
     if build_rows < probe_rows:
-        return build, filter_by(probe, filter_slots(build))
-    return filter_by(build, filter_slots(probe)), probe
+        return build, held(probe, build)
+    return held(build, probe), probe
 
 
 def radix_histogram(keys: DataFrame, bits: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

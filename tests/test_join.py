@@ -33,6 +33,21 @@ def test_on_a_tie_the_probe_side_filters(spark):
     assert ids(build) == [1] and ids(probe) == [0, 1]
 
 
+def test_the_workload_runner_counts_no_colliding_keys(spark):
+    from tessera import cli
+
+    r, s = (spark.createDataFrame(list(enumerate(k)), "row_index long, c0 int") for k in ([1, 2, 3], [2, 3, 3, 1 + (1 << 20), 4]))
+    for phase, steps in (("materialize_input", 1), ("partition_by_radix", 1), ("join_hash", 2)):
+        results: cli.Results = []
+        cli.run_join(r, s, phase, results)
+        assert [n for _, n in results] == [3] * len(results) and len(results) == 2 * steps + (phase == "join_hash")
+
+
+def test_exact_sides_keep_null_keys(spark):
+    build, probe = join.materialize_sides(table(spark, [1, None]), table(spark, [1, None, 1 + (1 << 20)]), 2, 3, exact=True)
+    assert ids(build) == [0, 1] and ids(probe) == [0, 1]
+
+
 def test_negative_keys_use_their_low_bits(spark):
     assert [r.slot for r in join.filter_slots(table(spark, [-1])).collect()] == [1048575]
     assert {r.radix for r in join.radix_partition(table(spark, [-5, -1]), 1).collect()} == {1}
