@@ -1,5 +1,6 @@
 """The entry module with and without its optional parts."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -25,6 +26,15 @@ def test_entry_works_where_optional_parts_are_deleted(tmp_path, gone):
     assert operators == str(not any("llm" in g for g in gone) and (copy / "tessera/llm").exists())
 
 
+def test_parts_of_another_copy_on_the_path_are_not_taken(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "*.json"))
+    (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; print('pipeline' in e.queries())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": str(ROOT)})
+    assert said.stdout.strip() == "False", said.stderr
+
+
 def test_errors_inside_installed_parts_are_not_hidden(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "*.json"))
