@@ -36,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.jaccard_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
     stay = scratch.keep(found.where("doc_id = least").select("doc_id", "n"), "stay")
     scratch.release()
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # the texts are dealt by key at every size: few keys that are broadcast say nothing of the disk that many take
+    kept = docs.join(stay.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     again = stay.where("n > 1").select("doc_id")
     if again.first() is not None:
         single = kept.join(again, "doc_id", "left_anti")

@@ -49,6 +49,12 @@ def test_quality_drops_what_has_no_words_and_carries_the_rest(spark, docs):
     assert kept <= {tuple(r) for r in docs.collect()} and not any(r[1] is None or len(r[1].split()) < 50 for r in kept)
 
 
+def test_near_duplicates_deal_texts_alike_at_every_size(spark, docs):
+    plan = corpus_pipeline.near_duplicates(spark, docs.where("doc_id is not null").dropDuplicates(["doc_id"]), SF)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_near_duplicates_keep_one_of_each_group(spark, docs):
     out = run(spark, 1, docs)
     assert out.columns == docs.columns
